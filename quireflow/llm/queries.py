@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, token_counts
+from . import factorization, mixing, packing, quality_rules, token_counts, toxicity
 from .common import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.byte_counting())
 
@@ -24,5 +28,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_quality_rules, op8_best_fit_packing, op9_source_mix)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op6_token_counts, op7_quality_rules, op8_best_fit_packing, op9_source_mix, op10_quality_classifier)}
 ORACLE: dict[str, str] = {}
