@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factorization, mixing, packing, quality_rules, suffixes, token_counts, toxicity
+from . import factorization, mixing, near_dedup, packing, quality_rules, suffixes, token_counts, toxicity
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_toxicity, op6_token_counts, op7_quality_rules, op8_best_fit_packing, op9_source_mix, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_suffix_dedup, op4_toxicity, op6_token_counts, op7_quality_rules, op8_best_fit_packing, op9_source_mix, op10_quality_classifier)}
 ORACLE: dict[str, str] = {}
