@@ -163,3 +163,20 @@ def scores(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> Data
 
     held = F.coalesce(remainder(how.modulus) == how.held_out, F.lit(False)).alias("held_out")
     return docs.select("doc_id", "text", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, same columns; cases are defined as for ``scores``."""
+    rows, y = sample(docs, labels, how.label, how.modulus, how.held_out, {0: how.most, 1: how.most})
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, y, how))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for _, part in blocks(texts(batch)):
+                bucket, share, first, stats = vectors(part, how.buckets)
+                keep.append(sigmoid(score(model, bucket, share, first, binned(stats, model["edges"], how.buckets))[0]) >= how.threshold)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

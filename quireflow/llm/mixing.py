@@ -122,3 +122,16 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         goals = F.broadcast(goals)
     out = taken.join(goals, F.col("source").eqNullSafe(F.col("g_source")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """``docs`` as the mix takes them, same columns: each row as many times as its words are taken, rounded.
+
+    The blocks of a source are taken in its shuffled order, so that all documents but those at the end of a
+    round are taken whole.  Rows of equal ids share their ids' words; texts without words are never taken.
+    """
+    names = docs.columns
+    times = mixed(docs, mix).groupBy("doc_id").agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias("_times"))
+    taken = times.filter("_times > 0").withColumnRenamed("doc_id", "_taken")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")))
+    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
