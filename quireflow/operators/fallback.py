@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Options
+from ..sources.shared import staged
 from .gates import choose_native, choose_rendered, needs_ocr
 
 ORIGINAL, LIGHT, FULL, RASTER = "original", "qpdf-repaired", "repaired", "rasterized"
@@ -45,6 +46,7 @@ def attempt(docs: DataFrame, extractor: Extractor, source: tuple[str, ...], opti
         native = keep(docs.select("doc_id", "use_ocr").join(tried.select("doc_id", result.alias("r"), F.coalesce(F.col("error"), result["error"]).alias("native_error")), "doc_id"), "native")
         done = native.filter("native_error is null").select("doc_id", F.lit(True).alias("ok"), "r.markdown", F.lit(None).cast("string").alias("error"))
         first = native.filter("native_error is not null").select("doc_id", "use_ocr", "native_error")
+    first = keep(first, "open")
     tried = first.join(extractor.extract(first.select("doc_id", "use_ocr"), source, mode or options.hybrid_mode), "doc_id")
     result = F.when(F.col("error").isNull(), choose_rendered(F.col("rendered"), F.col("markdown"), ~F.col("use_ocr")))
     error = F.coalesce(F.col("error"), result["error"])
@@ -58,9 +60,9 @@ def convert(docs: DataFrame, extractor: Extractor, options: Options = Options(),
 
     Stages: as it is; after a light repair; after a full repair; rasterized and recognised.  A failure that asks
     for text recognition ends the chain: with that one attempt, or at once where recognition was not selected
-    or is off.  ``keep(df, name)`` materialises a stage's result (by default nothing is).
+    or is off.  ``keep(df, name)`` materialises a stage's result, so that no attempt is made twice: by default in the shared folder.
     """
-    keep = keep or (lambda df, name: df)
+    keep = keep or staged
     pending = docs.select("doc_id", "use_ocr", F.expr("cast(array() as array<string>)").alias("errors"))
     results = []
 
