@@ -22,7 +22,7 @@ def first_of(kind: Column, *wanted: str) -> Column:
 def artifacts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the folder below ``path``), markdown and element_json: the first file of either kind, at any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
+    root = path.rstrip("/").removeprefix("file://") + "/"
     below = F.substring_index(F.col("path"), root, -1)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1))
     wanted = files.withColumns({"doc_id": F.element_at(F.split(below, "/"), 1), "kind": kind}).filter(kind.isin(*MARKDOWN, *ELEMENTS))
