@@ -16,12 +16,14 @@ from .common import SPACE, bound, staged
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
-    "a", "and", "as", "be", "by", "das", "de", "den", "der", "des", "die", "du", "ein", "el", "en", "et", "for",
-    "in", "is", "ist", "it", "la", "las", "le", "les", "los", "of", "on", "que", "se", "sich", "that", "the", "to",
-    "und", "un", "von", "was", "with", "zu",
+    "a", "and", "das", "de", "del", "den", "der", "des", "die", "el", "en", "et", "in", "is", "la", "le", "les", "los",
+    "of", "que", "that", "the", "to", "und", "von", "y",
 )
-#: The character classes of the first histogram.
-CHAR_CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", "[!-~&&[^a-zA-Z0-9#*$%&|<>]]", r"[^\x00-\x7F]")
+#: The character classes of the first histogram; bytes beyond one a character stand for what is not ASCII.
+CHAR_CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "beyond")
+#: Runs of the classes that make up most of any text.  What they leave is short, and the other classes are
+#: counted in it.
+USUAL = r"[a-z\x20\x09-\x0D\x{80}-\x{10FFFF}]++"
 
 
 @dataclass(frozen=True)
@@ -39,28 +41,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; overlapping windows count a word once.
+def with_repeated_words(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: words inside 3-word windows that occur twice or more, each counted once.
 
-    Windows are sorted with their positions, so that equal windows are neighbours; marked positions sorted
-    again give the covered words as a sum of gaps of three at most.
+    Windows are hashed to 64 bits; sorted, equal ones are neighbours.  Most texts have none and stop here.  A
+    few repeated windows are looked up, many are found by sorting the windows with their positions.  Marked
+    positions in order give the covered words as a sum of gaps of three at most.  The steps are columns of
+    their own, so that each is evaluated once and sorts run on primitive arrays.
     """
-
-    def marked(s: Column) -> Column:
-        same = lambda i, x: F.coalesce(F.get(s, i)["k"] == x["k"], F.lit(False))
-        return F.transform(F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["i"])
-
-    def windows(h: Column) -> Column:
-        made = F.transform(h, lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("i")))
-        return F.array_sort(F.filter(made, lambda x: x["i"] < F.size(h) - 2))
+    some = 10**9
+    h, k, s, twice = (F.col(f"_{n}") for n in ("hash", "window", "sorted", "twice"))
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    positions = bound(bound(hashes, windows), marked)
-    return bound(F.array_sort(positions), covered)
+    def marked(z: Column) -> Column:
+        same = lambda i, x: F.coalesce(F.get(z, i)["k"] == x["k"], F.lit(False))
+        return F.transform(F.filter(z, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["i"])
+
+    lookup = F.filter(F.transform(k, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull())
+    sorting = F.sort_array(bound(F.array_sort(F.transform(k, lambda x, i: F.struct(x.alias("k"), i.alias("i")))), marked))
+    positions = F.when(F.size(twice) <= 16, lookup).otherwise(sorting)
+    pairs = F.zip_with(h, F.slice(h, 2, some), lambda x, y: F.xxhash64(x, y))
+    windows = F.slice(F.zip_with(pairs, F.slice(h, 3, some), lambda x, y: F.xxhash64(x, y)), F.lit(1), F.greatest(F.lit(0), F.size(h) - 2))
+    return (
+        df.withColumn("_hash", F.transform("words", lambda w: F.xxhash64(w)))
+        .withColumn("_window", windows)
+        .withColumn("_sorted", F.sort_array("_window"))
+        .withColumn("_twice", F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False)))))
+        .withColumn("n_repeat_words", F.when(F.size(twice) == 0, F.lit(0)).otherwise(bound(positions, covered)).cast("long"))
+        .drop("_hash", "_window", "_sorted", "_twice")
+    )
 
 
 def count_of(words: Column, word: str) -> Column:
@@ -70,21 +82,31 @@ def count_of(words: Column, word: str) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """Counts of every whole text: the rules' inputs and both histograms.  Null texts count as empty."""
     base = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("words", words_of(F.col("text")))
-    text, words = F.col("text"), F.col("words")
+    base = base.withColumns({"words": words_of(F.col("text")), "rest": F.regexp_replace("text", USUAL, "")})
+    base = with_repeated_words(base)
+    text, words, rest = F.col("text"), F.col("words"), F.col("rest")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    common = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*COMMON_WORDS))
-    return base.select(
+    common = F.filter(words, lambda w: w.isin(*COMMON_WORDS))
+    counted = base.select(
         "doc_id",
         "lang",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(rest, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(words).cast("long").alias("n_repeat_words"),
-        F.array(*[F.regexp_count(text, F.lit(c)).cast("double") for c in CHAR_CLASSES]).alias("chars"),
+        "n_repeat_words",
+        F.length(text).alias("n_chars"),
+        F.length(rest).alias("n_rest"),
+        F.regexp_count(rest, F.lit("[A-Z]")).alias("upper"),
+        F.regexp_count(rest, F.lit("[0-9]")).alias("digit"),
+        (F.octet_length(text) - F.length(text)).alias("beyond"),
         bound(common, lambda c: F.array(*[count_of(c, v) for v in COMMON_WORDS])).alias("common"),
     )
+    classes = (
+        F.greatest(F.lit(0), F.col("word_chars") - F.col("n_rest") - F.col("beyond")), F.col("upper"), F.col("digit"), F.col("n_chars") - F.col("word_chars"), F.col("n_symbols"),
+        F.col("n_rest") - F.col("upper") - F.col("digit") - F.col("n_symbols"), F.col("beyond"),
+    )
+    return counted.withColumn("chars", F.array(*[c.cast("double") for c in classes])).drop("n_chars", "n_rest", "upper", "digit", "beyond")
 
 
 def total(a: Column) -> Column:
