@@ -34,7 +34,7 @@ class Packing:
     end: int = 0
     cached: int = 400_000
     #: Pieces, about, that are ranked together.
-    bucket: int = 50_000
+    bucket: int = 4_000
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
