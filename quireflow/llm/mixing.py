@@ -42,7 +42,8 @@ def targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """source, source_size, target and the share [lo, hi) of each source; one row per source.
 
     Targets are min(max_repeats * size, level * weight), with the level at which they sum to all sizes: the
-    fixed point of sharing the excess again.  Sources are few, so windows over all of them are small.
+    fixed point of sharing the excess again.  In order of cap by weight, the first source below its cap has the
+    highest level of all that are.  Sources are few, so windows over all of them are small.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -52,7 +53,7 @@ def targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     per = per.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    per = per.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
+    per = per.withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")))
     running = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
     per = per.withColumns({"hi": running, "all": F.sum("target").over(everything)})
