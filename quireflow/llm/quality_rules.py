@@ -158,5 +158,5 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance",
+        (~F.col("base_failed") & near).alias("kept"), F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import factorization, mixing, near_dedup, packing, quality_rules, revisits, spotsigs, suffixes, token_counts, toxicity
 from .common import table
+from .oracles import ORACLE  # noqa: F401
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +50,3 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_spotsigs, op3_suffix_dedup, op4_toxicity, op5_warc_revisits, op6_token_counts, op7_quality_rules, op8_best_fit_packing, op9_source_mix, op10_quality_classifier)}
-ORACLE: dict[str, str] = {}
