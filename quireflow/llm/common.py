@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -37,10 +38,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quireflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which finished shuffles nothing refers to any more, so that their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark._jvm

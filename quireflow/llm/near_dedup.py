@@ -8,13 +8,14 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 number of shingles plus k log k, not with their product.
 
 Joining.  Exact copies are one node.  Documents that agree in all rows of a band share a bucket.  In a bucket
-the signatures estimate similarities; only a spanning tree of pairs that may reach the threshold is checked on
-the texts, then whatever may still join two components is, until nothing is left.  No bucket's pairs are all
+the signatures estimate similarities; one pair for each member that may reach the threshold is checked on the
+texts, then whatever may still join two components is, until nothing is left.  No bucket's pairs are all
 emitted; a large bucket is dealt out to several tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, shared_dir, shuffle_partitions, staged
 from .components import components
 from .textvec import SOLID, blocks, mix, words
 from .token_counts import texts
@@ -161,26 +162,32 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - 1 / 256) / (1 - 1 / 256)
 
 
-def spanning(sketch: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest of the pairs estimated at ``least`` or more (Prim)."""
-    n = len(sketch)
-    best, link, edges = np.full(n, -1.0), np.full(n, -1), []
-    open_ = np.ones(n, bool)
-    while open_.any():
-        at = int(np.argmax(np.where(open_, best, -2)))
-        if link[at] >= 0 and best[at] >= least:
-            edges.append((int(link[at]), at))
-        open_[at] = False
-        near = agreement(sketch[at : at + 1], sketch)[0]
-        better = open_ & (near > best)
-        best[better], link[better] = near[better], at
+def forest(sketch: np.ndarray, how: NearDedup) -> list[tuple[int, int]]:
+    """An edge for each member that resembles an earlier one, or else a later one.
+
+    Members are in the order of their digests, the same in every bucket: a member is tied to the first one
+    that it clearly resembles, else to the most similar that may reach the threshold.  So the buckets of a group of copies ask
+    for mostly the same pairs.
+    """
+    edges = []
+    clear = how.threshold + 0.05
+    for i in range(0, len(sketch), 64):
+        near = agreement(sketch[i : i + 64], sketch)
+        for j, row in enumerate(near):
+            at = i + j
+            row[at] = -1
+            first = int(np.argmax(row >= clear))
+            best = first if row[first] >= clear and first < at else int(np.argmax(row))
+            if row[best] >= how.least:
+                edges.append((at, best))
     return edges
 
 
 def tree_of(table: pa.Table, how: NearDedup) -> pa.Table:
+    table = table.sort_by("node")
     names = table.column("node").to_pylist()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
-    edges = [(min(names[i], names[j]), max(names[i], names[j])) for i, j in spanning(sketch, how.least) if names[i] != names[j]]
+    edges = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in forest(sketch, how)} if len(names) > 1 else set()
     return pa.table({"u": pa.array([e[0] for e in edges], pa.binary()), "v": pa.array([e[1] for e in edges], pa.binary())})
 
 
@@ -209,11 +216,24 @@ def members(buckets: DataFrame, nodes: DataFrame, salt: int, how: NearDedup) ->
     return dealt.join(nodes.select("node", "sketch"), "node")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, how: NearDedup) -> DataFrame:
+def texts_by_node(docs: DataFrame) -> DataFrame:
+    """node and text of every different text: a table bucketed by node in the shared folder.
+
+    Texts are shuffled this once; whatever looks some of them up shuffles digests only.
+    """
+    spark = docs.sparkSession
+    name = f"quireflow_texts_{uuid.uuid4().hex}"
+    n = shuffle_partitions(spark)
+    whole = docs.select(node().alias("node"), "text").repartition(n, "node").dropDuplicates(["node"])
+    whole.write.bucketBy(n, "node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    release(spark)
+    return spark.table(name)
+
+
+def checked(pairs: DataFrame, store: DataFrame, how: NearDedup) -> DataFrame:
     """The pairs of texts (u, v) that are similar, by their shingles themselves."""
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    whole = docs.select(node().alias("node"), "text").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    whole = staged(whole, "texts")
+    whole = staged(store.join(needed, "node", "left_semi"), "texts")
     a, b = whole.select(F.col("node").alias("u"), F.col("text").alias("a")), whole.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +269,8 @@ def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     buckets = staged(banded.join(several, "band"), "members")
     tree = members(buckets, nodes, 0, how).groupBy("band", "part").applyInArrow(lambda t: tree_of(t, how), "u binary, v binary").distinct()
     tried = staged(tree, "pairs")
-    links = staged(checked(tried, docs, how), "links")
+    store = texts_by_node(docs)
+    links = staged(checked(tried, store, how), "links")
     salt = 0
     while True:
         found = components(links)
@@ -261,7 +282,7 @@ def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
         more = staged(more.join(tried, ["u", "v"], "left_anti"), "pairs")
         if more.isEmpty():
             break
-        new = staged(checked(more, docs, how), "links")
+        new = staged(checked(more, store, how), "links")
         tried = tried.union(more)
         if new.isEmpty():
             break
@@ -280,4 +301,4 @@ def one_of_each(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     names = docs.columns
     best = classes(docs, how).filter("doc_id <=> class_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
     out = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]).select(*names)
+    return out.dropDuplicates(["doc_id", "text"]).select(*names)

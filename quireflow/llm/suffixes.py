@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, staged
+from .common import release, shared_dir, shuffle_partitions, staged
 from .textvec import mix
 
 _RANDOM = np.random.default_rng(50)
@@ -35,15 +35,15 @@ _PLACE = _RANDOM.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 #: Bytes that are scanned together, and the most of one document that is.
 BLOCK, SEGMENT = 1 << 18, 1 << 20
 #: Entries that a task gathers before it combines and sends them.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 @dataclass(frozen=True)
 class Depth:
     depth: int = 50
     gram: int = 24
-    #: Mean suffixes in a run, a power of two.
-    run: int = 256
+    #: Mean suffixes in a run, a power of two: short enough that runs lie between the edits of near copies.
+    run: int = 32
 
 
 def hashes(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
@@ -117,7 +117,7 @@ class Scan:
         at = np.arange(len(first)) - np.repeat(self.start, self.length)
         self.run = mix(np.add.reduceat(self.hash * _PLACE[at & 4095], self.start) + self.length.astype(np.uint64)).view(np.int64)
         self.run_row = self.row[self.start]
-        self.digit = sliding_min(gram, how.depth - how.gram + 1)[: len(valid)][valid] if digits else None
+        self.digit = mix(sliding_min(gram, how.depth - how.gram + 1)[: len(valid)][valid]) if digits else None
         self.segment = segment
 
     def known(self, found: list[np.ndarray | None]) -> np.ndarray:
@@ -130,63 +130,75 @@ class Scan:
         return np.repeat(done, self.length)
 
 
-def grouped(order: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin in a sorted array."""
-    new = np.ones(len(order), bool)
-    new[1:] = order[1:] != order[:-1]
-    return np.flatnonzero(new)
+def packed_keys(key: np.ndarray) -> bytes:
+    """Keys in order: the first, then the steps in as few bytes each as the largest needs."""
+    step = np.diff(key, prepend=key[:1]).view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if not len(step) or int(step.max()) < 256**w)
+    return key[:1].tobytes() + bytes([width]) + step.astype(f"<u{width}").tobytes()
 
 
-def smallest(value: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (value, key) in order, where the values' groups begin, each entry's group and its least key."""
-    order = np.lexsort((key, value))
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    if len(blob) < 9:
+        return np.zeros(0, np.int64)
+    steps = np.frombuffer(blob, f"<u{blob[8]}", offset=9).astype(np.uint64)
+    return (np.cumsum(steps, dtype=np.uint64) + np.frombuffer(blob, np.uint64, 1)).view(np.int64)
+
+
+def grouped(value: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values in order with their keys; where groups of equal values begin; by group, the least key and whether there are others."""
+    order = np.argsort(value)
     value, key = value[order], key[order]
-    if len(value):
-        new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1])
-        value, key = value[new], key[new]
-    start = grouped(value) if len(value) else np.zeros(0, np.int64)
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(value))))
-    return value, key, start, group, key[start][group] if len(value) else key
+    if not len(value):
+        return value, key, np.zeros(0, np.int64), key, np.zeros(0, bool)
+    start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    least = np.minimum.reduceat(key, start)
+    return value, key, start, least, least != np.maximum.reduceat(key, start)
 
 
 SENT = "bucket int, value binary, key binary, found_value binary, found_key binary"
 
 
-def sent(value: np.ndarray, key: np.ndarray, buckets: int, with_least: bool) -> pa.RecordBatch:
+def sent(value: np.ndarray, key: np.ndarray, buckets: int, digits: bool) -> pa.RecordBatch:
     """A task's entries, combined: for each value the smallest key goes to the value's bucket; what other keys
-    are thereby known to share goes along to any bucket, as already found."""
-    value, key, start, group, least = smallest(value, key)
-    shared = np.diff(np.append(start, len(value)))[group] > 1 if len(value) else np.zeros(0, bool)
-    found = shared & ((key != least) | with_least)
-    bucket = ((value[start] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32) if len(value) else np.zeros(0, np.int32)
+    are thereby known to share goes along to any bucket, as already found.
+
+    Of digits the last 32 bits are sent: the bucket tells some more, and a false match costs time only.
+    """
+    value, key, start, least, several = grouped(value, key)
+    size = np.diff(np.append(start, len(value)))
+    found = np.repeat(several, size) & (digits | (key != np.repeat(least, size)))
+    kind = np.uint32 if digits else np.uint64
+    fv, fk = value[found].astype(kind), key[found]
+    cuts = np.searchsorted(value[start], (np.arange(buckets + 1, dtype=object) * 2**64 // buckets).clip(0, 2**64 - 1).astype(np.uint64))
+    cuts[-1] = len(start)
     # What is found is spread evenly.
-    spread = np.arange(found.sum()) % buckets
-    order, also = np.argsort(bucket, kind="stable"), np.argsort(spread, kind="stable")
-    cuts, cuts_also = np.searchsorted(bucket[order], np.arange(buckets + 1)), np.searchsorted(spread[also], np.arange(buckets + 1))
-    v, k, fv, fk = value[start][order], key[start][order], value[found][also], key[found][also]
-    rows = [(b, v[i:j].tobytes(), k[i:j].tobytes(), fv[x:y].tobytes(), fk[x:y].tobytes()) for b, (i, j, x, y) in enumerate(zip(cuts, cuts[1:], cuts_also, cuts_also[1:], strict=False)) if j > i or y > x]
+    also = len(fv) * np.arange(buckets + 1) // buckets
+    rows = []
+    for b in range(buckets):
+        i, j, x, y = cuts[b], cuts[b + 1], also[b], also[b + 1]
+        if j > i or y > x:
+            order, more = np.argsort(least[i:j], kind="stable"), np.argsort(fk[x:y], kind="stable")
+            rows.append((b, value[start[i:j]].astype(kind)[order].tobytes(), packed_keys(least[i:j][order]), fv[x:y][more].tobytes(), packed_keys(fk[x:y][more])))
     columns = list(zip(*rows, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "value", "key", "found_value", "found_key"])
 
 
-def met(table: pa.Table, with_least: bool) -> pa.Table:
-    """All entries of a bucket: (key, value) wherever a smaller key has the value (``with_least``: another key)."""
-    joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    value, key, start, group, least = smallest(joined("value", np.uint64), joined("key", np.int64))
-    several = np.diff(np.append(start, len(value)))[group] > 1 if len(value) else np.zeros(0, bool)
-    keep = several & ((key != least) | with_least)
-    keys, values = np.concatenate([key[keep], joined("found_key", np.int64)]), np.concatenate([value[keep], joined("found_value", np.uint64)])
-    return pa.table({"key": pa.array(keys), "value": pa.array(values.view(np.int64))})
+def met(table: pa.Table, digits: bool) -> pa.Table:
+    """All entries of a bucket: (key, value) wherever a smaller key has the value (of digits: another key)."""
+    kind = np.uint32 if digits else np.uint64
+    values = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    keys_ = lambda name: np.concatenate([np.zeros(0, np.int64), *map(unpacked_keys, table.column(name).to_pylist())])
+    value, key, start, least, several = grouped(values("value"), keys_("key"))
+    size = np.diff(np.append(start, len(value)))
+    keep = np.repeat(several, size) & (digits | (key != np.repeat(least, size)))
+    own, out = np.concatenate([key[keep], keys_("found_key")]), np.concatenate([value[keep], values("found_value")])
+    return pa.table({"key": pa.array(own), "value": pa.array(out.astype(np.uint64).view(np.int64))})
 
 
-def exchanged(rows: DataFrame, with_least: bool, name: str) -> DataFrame:
-    """key and ``name``, the array of values found for it.
-
-    The documents of a document's id are one key: whatever a smaller id has, all of them repeat.
-    """
-    found = rows.groupBy("bucket").applyInArrow(lambda table: met(table, with_least), "key long, value long")
-    return staged(found.groupBy("key").agg(F.collect_set("value").alias(name)), name)
+def exchanged(rows: DataFrame, digits: bool, name: str) -> DataFrame:
+    """_key and ``name``, the array of values found for it."""
+    found = rows.groupBy("bucket").applyInArrow(lambda table: met(table, digits), "key long, value long")
+    return staged(found.groupBy(F.col("key").alias("_key")).agg(F.collect_set("value").alias(name)), name)
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
@@ -197,6 +209,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long"))
     keyed.repartition(n, "_key").write.bucketBy(n, "_key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    release(spark)
     return spark.table(name)
 
 
@@ -219,19 +232,7 @@ def repeated(docs: DataFrame, how: Depth = Depth()) -> DataFrame:
     text = docs.select("_key", "text")
     buckets = 4 * shuffle_partitions(docs.sparkSession)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = keys(batch)
-            for block in segments(raw(batch), how):
-                scan = Scan(block, how, False)
-                yield pa.RecordBatch.from_arrays([pa.array(scan.run), pa.array(key[scan.run_row])], ["run", "key"])
-
-    made = staged(text.mapInArrow(runs, "run long, key long"), "runs")
-    least = staged(made.groupBy("run").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("run", "least"), "least")
-    run_list = staged(made.join(least, "run").filter("key > least").groupBy(F.col("key").alias("_key")).agg(F.collect_set("run").alias("_runs")), "run-list")
-    left = text.join(run_list, "_key", "left")
-
-    def gathered(batches: Iterator[pa.RecordBatch], each, with_least: bool) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch], each, digits: bool) -> Iterator[pa.RecordBatch]:
         values, owners, n = [], [], 0
         for batch in batches:
             for v, k in each(batch):
@@ -239,10 +240,19 @@ def repeated(docs: DataFrame, how: Depth = Depth()) -> DataFrame:
                 owners.append(k)
                 n += len(v)
                 if n >= FLUSH:
-                    yield sent(np.concatenate(values), np.concatenate(owners), buckets, with_least)
+                    yield sent(np.concatenate(values), np.concatenate(owners), buckets, digits)
                     values, owners, n = [], [], 0
         if n:
-            yield sent(np.concatenate(values), np.concatenate(owners), buckets, with_least)
+            yield sent(np.concatenate(values), np.concatenate(owners), buckets, digits)
+
+    def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key = keys(batch)
+        for block in segments(raw(batch), how):
+            scan = Scan(block, how, False)
+            yield scan.run.view(np.uint64), key[scan.run_row]
+
+    run_list = exchanged(text.mapInArrow(lambda b: gathered(b, runs_of, False), SENT), False, "_runs")
+    left = text.join(run_list, "_key", "left")
 
     def digits_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, found = keys(batch), arrays(batch, "_runs")
@@ -253,7 +263,7 @@ def repeated(docs: DataFrame, how: Depth = Depth()) -> DataFrame:
             change[1:] &= (scan.digit[1:] != scan.digit[:-1]) | (scan.segment[1:] != scan.segment[:-1]) | ~open_[:-1]
             yield scan.digit[change], key[scan.row[change]]
 
-    digits = exchanged(left.mapInArrow(lambda b: gathered(b, digits_of, True), SENT), True, "_digits").withColumnRenamed("key", "_key")
+    digits = exchanged(left.mapInArrow(lambda b: gathered(b, digits_of, True), SENT), True, "_digits")
 
     def strings_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, found, wanted = keys(batch), arrays(batch, "_runs"), arrays(batch, "_digits")
@@ -262,10 +272,10 @@ def repeated(docs: DataFrame, how: Depth = Depth()) -> DataFrame:
             take = ~scan.known(found)
             for r in np.unique(scan.row):
                 own = np.flatnonzero((scan.row == r) & take)
-                take[own] = np.isin(scan.digit[own].view(np.int64), wanted[r])
+                take[own] = np.isin((scan.digit[own] & np.uint64(0xFFFFFFFF)).view(np.int64), wanted[r])
             yield scan.hash[take], key[scan.row[take]]
 
-    strings = exchanged(left.join(digits, "_key").mapInArrow(lambda b: gathered(b, strings_of, False), SENT), False, "_strings").withColumnRenamed("key", "_key")
+    strings = exchanged(left.join(digits, "_key").mapInArrow(lambda b: gathered(b, strings_of, False), SENT), False, "_strings")
     return docs.join(run_list, "_key", "left").join(strings, "_key", "left")
 
 
