@@ -9,8 +9,9 @@ number of shingles plus k log k, not with their product.
 
 Joining.  Exact copies are one node.  Documents that agree in all rows of a band share a bucket.  In a bucket
 the signatures estimate similarities; one pair for each member that may reach the threshold is checked on the
-texts, then whatever may still join two components is, until nothing is left.  No bucket's pairs are all
-emitted; a large bucket is dealt out to several tasks.
+texts, then whatever may still join two components is.  No bucket's pairs are all emitted: they are compared
+and checked where the members meet, and only links leave the task.  A large bucket is dealt out to several
+tasks, first at random, then by all pairs of its parts, so that any two members of different components meet.
 """
 
 from __future__ import annotations
@@ -191,29 +192,73 @@ def tree_of(table: pa.Table, how: NearDedup) -> pa.Table:
     return pa.table({"u": pa.array([e[0] for e in edges], pa.binary()), "v": pa.array([e[1] for e in edges], pa.binary())})
 
 
-def crossing(table: pa.Table, how: NearDedup) -> pa.Table:
-    """Pairs of different components that may still be links."""
-    names, parts = table.column("node").to_pylist(), table.column("component").to_pylist()
+def joining(table: pa.Table, how: NearDedup) -> pa.Table:
+    """Links between different components: the pairs of a block that may be links, checked on their texts.
+
+    Members of side 0 meet one another, those of side 1 meet those of side 2.  Pairs that links found before
+    have joined are left out.
+    """
+    names, side = table.column("node").to_pylist(), table.column("side").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
-    _, part = np.unique(np.array([p.hex() for p in parts]), return_inverse=True)
+    _, part = np.unique(np.array([p.hex() for p in table.column("component").to_pylist()]), return_inverse=True)
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    pairs, shares = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    for i in range(0, len(left), 64):
+        own = left[i : i + 64]
+        near = agreement(sketch[own], sketch[right])
+        hit = (near >= how.least) & (part[own, None] != part[None, right]) & ((own[:, None] < right[None, :]) | (side[own, None] > 0))
+        x, y = np.nonzero(hit)
+        pairs.append(np.stack([own[x], right[y]], axis=1))
+        shares.append(near[x, y])
+    found = np.concatenate(pairs)[np.argsort(-np.concatenate(shares), kind="stable")]
+    needed, whole = np.unique(found), texts(table)
+    of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for at, some in blocks([whole[i] for i in needed]):
+        h, weight, first = shingles(some, how)
+        of |= {int(needed[at + i]): (h[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]) for i in range(len(some))}
+    root = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
     u, v = [], []
-    for i in range(0, len(names), 64):
-        hit = (agreement(sketch[i : i + 64], sketch) >= how.least) & (part[i : i + 64, None] < part[None, :])
-        for x, y in zip(*np.nonzero(hit), strict=True):
-            a, b = names[i + x], names[y]
-            u.append(min(a, b))
-            v.append(max(a, b))
+    for x, y in found.tolist():
+        p, q = top(part[x]), top(part[y])
+        if p != q and similar(*of[x], *of[y], how):
+            root[p] = q
+            u.append(min(names[x], names[y]))
+            v.append(max(names[x], names[y]))
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 
-def members(buckets: DataFrame, nodes: DataFrame, salt: int, how: NearDedup) -> DataFrame:
-    """Rows of ``buckets`` (band, node, n) with sketches, dealt out by ``part``: one part for a usual bucket.
+def dealt(buckets: DataFrame, salt: int, how: NearDedup) -> DataFrame:
+    """Rows of ``buckets`` (band, node, n) dealt out by ``part``: one part for a usual bucket."""
+    parts = F.ceil(F.col("n") / how.dealt)
+    return buckets.withColumn("part", F.pmod(F.xxhash64("node", "band", F.lit(salt)), parts))
+
+
+def once(open_: DataFrame, how: NearDedup) -> DataFrame:
+    """Blocks (x, y) of rows with components: each row in one.  All pairs of a usual bucket meet."""
+    return dealt(open_, 1, how).withColumns({"x": F.col("part"), "y": F.col("part"), "side": F.lit(0)}).drop("part")
 
-    In a large one each round deals anew.
+
+def all_parts(open_: DataFrame, how: NearDedup) -> DataFrame:
+    """Blocks (x, y) for every pair of a bucket's parts but those within its largest component.
+
+    Parts are fixed; the largest component has parts of its own, which meet only those of the other members.
     """
-    parts = F.ceil(F.col("n") / how.dealt)
-    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("node", "band", F.lit(salt)), parts))
-    return dealt.join(nodes.select("node", "sketch"), "node")
+    sizes = open_.groupBy("band", "component").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("band").agg(F.max(F.struct("m", "component")).alias("top"))
+    rest, main = F.ceil((F.col("n") - F.col("top.m")) / how.dealt), F.ceil(F.col("top.m") / how.dealt)
+    inside, h = F.col("component") == F.col("top.component"), F.xxhash64("node", "band")
+    rows = open_.join(top, "band").withColumns({
+        "own": F.when(inside, rest + F.pmod(h, main)).otherwise(F.pmod(h, rest)),
+        "other": F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, rest).otherwise(rest + main) - 1)),
+    })
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select("band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
 
 
 def texts_by_node(docs: DataFrame) -> DataFrame:
@@ -230,6 +275,14 @@ def texts_by_node(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def similar(h: np.ndarray, weight: np.ndarray, other: np.ndarray, its: np.ndarray, how: NearDedup) -> bool:
+    """Whether two texts' shingles (hashes and weights) reach the threshold."""
+    _, m, n = np.intersect1d(h, other, assume_unique=True, return_indices=True)
+    both = np.minimum(weight[m], its[n]).sum()
+    total = weight.sum() + its.sum() - both
+    return bool(total) and both >= how.threshold * total
+
+
 def checked(pairs: DataFrame, store: DataFrame, how: NearDedup) -> DataFrame:
     """The pairs of texts (u, v) that are similar, by their shingles themselves."""
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
@@ -245,10 +298,7 @@ def checked(pairs: DataFrame, store: DataFrame, how: NearDedup) -> DataFrame:
                 h, weight, first = shingles(x + y, how)
                 for i in range(len(x)):
                     p, q = slice(first[i], first[i + 1]), slice(first[len(x) + i], first[len(x) + i + 1])
-                    _, m, n = np.intersect1d(h[p], h[q], assume_unique=True, return_indices=True)
-                    both = np.minimum(weight[p][m], weight[q][n]).sum()
-                    total = weight[p].sum() + weight[q].sum() - both
-                    keep.append(bool(total) and both >= how.threshold * total)
+                    keep.append(similar(h[p], weight[p], h[q], weight[q], how))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
@@ -267,26 +317,24 @@ def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     several = staged(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     buckets = staged(banded.join(several, "band"), "members")
-    tree = members(buckets, nodes, 0, how).groupBy("band", "part").applyInArrow(lambda t: tree_of(t, how), "u binary, v binary").distinct()
-    tried = staged(tree, "pairs")
+    sketches = nodes.select("node", "sketch")
+    tree = dealt(buckets, 0, how).join(sketches, "node").groupBy("band", "part").applyInArrow(lambda t: tree_of(t, how), "u binary, v binary").distinct()
     store = texts_by_node(docs)
-    links = staged(checked(tried, store, how), "links")
-    salt = 0
-    while True:
-        found = components(links)
-        salt += 1
-        placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = staged(checked(staged(tree, "pairs"), store, how), "links")
+    found = components(links)
+    # Of what one component holds already no pair is left.  After the first round that is so of usual buckets,
+    # after the second of all.
+    for meet, some in ((once, buckets), (all_parts, buckets.filter(F.col("n") > how.dealt))):
+        placed = some.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        open_ = members(placed.join(mixed, "band"), nodes, salt, how)
-        more = open_.groupBy("band", "part").applyInArrow(lambda t: crossing(t, how), "u binary, v binary").distinct()
-        more = staged(more.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        new = staged(checked(more, store, how), "links")
-        tried = tried.union(more)
-        if new.isEmpty():
+        open_ = staged(placed.join(mixed, "band"), "open")
+        if open_.isEmpty():
             break
-        links = links.union(new)
+        met = meet(open_, how).join(sketches, "node").join(store, "node")
+        new = staged(met.groupBy("band", "x", "y").applyInArrow(lambda t: joining(t, how), "u binary, v binary").distinct(), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
     placed = nodes.select("node", "id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = staged(placed.join(sizes, "component").select("node", "class_id", "class_size", "copies"), "classes")

@@ -45,6 +45,19 @@ def test_near_dedup(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c, _, _ in want}
 
 
+def test_near_dedup_of_large_buckets(spark):
+    """Pairs of copies in buckets that all documents share, which are dealt out to many parts."""
+    base, rows = H.prose(1, 200).split(), []
+    for n in range(40):
+        own = base[:80] + [f"own{n}x{i}" for i in range(25)] + base[105:]
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join([*own[:-1], "end"]))]
+    sets = [shingle_set(t) for _, t in rows]
+    want = sorted((i, min(j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))) for i in range(len(rows)))
+    how = near_dedup.NearDedup(bands=2, rows=1, dealt=4)
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     how = near_dedup.NearDedup(counted=True)
     a, b = "x y z w v " * 30 + H.prose(1, 200), "x y z w v " * 10 + H.prose(1, 200)
