@@ -304,13 +304,10 @@ def checked(pairs: DataFrame, store: DataFrame, how: NearDedup) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): class_id (the least id of its class), class_size, copies.
+def grouped(docs: DataFrame, how: NearDedup) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node of every row; of every node its class, its least id and whether it stands for its class.
 
-    A class is a connected component of texts linked by a similarity of the threshold or more; ``copies`` is
-    the number of rows with the very same text.  Defined results: null and empty texts are one another's copies and near
-    nothing else; texts of fewer words than a shingle are near their copies of words only; repeated rows are
-    copies; texts of any length count whole; an empty table gives no rows; other columns are ignored.
+    That is the node of the least id, null ids last, then of the least digest.
     """
     rows = staged(signed(docs, how), "signed")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
@@ -336,17 +333,30 @@ def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
             links = links.union(new)
             found = components(links)
     placed = nodes.select("node", "id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = staged(placed.join(sizes, "component").select("node", "class_id", "class_size", "copies"), "classes")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size", "copies")
+    sizes = placed.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    named = placed.join(sizes, "component").select("node", "id", "class_id", "class_size", "copies", (F.col("node") == F.col("least.node")).alias("stands"))
+    return rows.select("doc_id", "node"), staged(named, "classes")
+
+
+def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): class_id (the least id of its class), class_size, copies.
+
+    A class is a connected component of texts linked by a similarity of the threshold or more; ``copies`` is
+    the number of rows with the very same text.  Defined results: null and empty texts are one another's copies and near
+    nothing else; texts of fewer words than a shingle are near their copies of words only; repeated rows are
+    copies; texts of any length count whole; an empty table gives no rows; other columns are ignored.
+    """
+    rows, named = grouped(docs, how)
+    return rows.join(named, "node").select("doc_id", "class_id", "class_size", "copies")
 
 
 def one_of_each(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     """``docs`` with one document of each class: that with the least id; same columns.
 
-    Of repeated rows with the least id one stays.
+    Of rows with the least id that with the least text digest stays, a null id only where the class has no other.
     """
-    names = docs.columns
-    best = classes(docs, how).filter("doc_id <=> class_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    out = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]).select(*names)
+    _, named = grouped(docs, how)
+    best = named.filter("stands").select(F.col("node").alias("_best"), F.col("id").alias("_kept"))
+    own = docs.withColumn("_node", node())
+    out = own.join(best, (F.col("_node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates(["_node"]).select(*docs.columns)

@@ -58,6 +58,16 @@ def test_near_dedup_of_large_buckets(spark):
     assert sorted((r.doc_id, r.class_id) for r in got) == want
 
 
+def test_one_of_each_by_row(spark):
+    """Near copies without ids, and an id that stands for two texts, one of them a near copy of another's."""
+    a, b, c = (H.prose(n, 120) for n in (1, 2, 3))
+    rows = [(None, a), (None, a + " end"), (None, b), (3, b + " end"), (4, c), (4, b + " last"), (4, c)]
+    got = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [(r.doc_id, r.text) for r in got]
+    assert len(kept) == 3 and {(3, b + " end"), (4, c)} < set(kept)
+    assert {k for k in kept if k[0] is None} < {(None, a), (None, a + " end")}
+
+
 def test_signatures_estimate_weighted_similarity():
     how = near_dedup.NearDedup(counted=True)
     a, b = "x y z w v " * 30 + H.prose(1, 200), "x y z w v " * 10 + H.prose(1, 200)
