@@ -89,7 +89,7 @@ def header_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = X.order_matrices(spark, sf_dir)
-    filled = tables.context_filled(F.slice("matrix", 2, 1000))
+    filled = tables.context_filled(F.slice("matrix", F.lit(2), F.size("matrix")))
     return m.select("order_key", F.posexplode(filled).alias("n", "row")).select("order_key", F.col("n").cast("long").alias("n"), F.array_join("row", "|").alias("cells"))
 
 
@@ -97,7 +97,7 @@ def header_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of matrices with as many header rows as the order has lines, five at most."""
     m = X.order_matrices(spark, sf_dir)
     n = F.least(F.size("matrix") - 1, F.lit(5))
-    stacked = F.concat(F.array_repeat(F.element_at("matrix", 1), n), F.slice("matrix", 2, 1000))
+    stacked = F.concat(F.array_repeat(F.element_at("matrix", 1), n), F.slice("matrix", F.lit(2), F.size("matrix")))
     return m.select("order_key", tables.header_depth(stacked).cast("long").alias("depth"))
 
 

@@ -10,6 +10,7 @@ from quireflow.operators.fallback import AFTER_OCR, NOT_SELECTED, convert
 from quireflow.operators.gates import IMAGE_ONLY, VISUAL_PAGE
 from quireflow.operators.validate import validated
 from quireflow.options import ChunkingOptions, Options
+from quireflow.plans import queries
 from quireflow.plans.convert import rendered
 from quireflow.sources.files import artifacts, responses
 
@@ -174,3 +175,10 @@ def test_stream(spark, tmp_path):
     query = arriving_chunks(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("chunks").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     query.awaitTermination(120)
     assert [r.content for r in spark.table("chunks").collect()] == ["# A\n\nbody"]
+
+
+def test_orders_of_many_lines(spark, monkeypatch):
+    matrix_ = [["a", "b"], *[[str(i), "x"] for i in range(1200)]]
+    many = spark.createDataFrame([(1, matrix_)], "order_key long, matrix array<array<string>>")
+    monkeypatch.setattr(queries.X, "order_matrices", lambda *_: many)
+    assert queries.context_fill(spark, "").count() == 1200
