@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quireflow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,13 +40,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quireflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which finished shuffles nothing refers to any more, so that their files go."""
+    """Let Spark's cleaner see which finished shuffles nothing refers to any more, so that their files go.
+
+    Called after the few exchanges that are as large as the input.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
@@ -56,6 +60,26 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(spark: SparkSession, table: str) -> None:
+    """Drop a table of the shared folder and its files."""
+    with contextlib.suppress(Exception):
+        spark.sql(f"drop table if exists {table}")
+    remove(spark, f"{shared_dir(spark)}/{table}")
+
+
+def remove_table(spark: SparkSession, table: str) -> None:
+    """Drop a table of the shared folder, and its files, when the application ends."""
+    atexit.register(drop, spark, table)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or that with underscores in front until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -8,10 +8,11 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 number of shingles plus k log k, not with their product.
 
 Joining.  Exact copies are one node.  Documents that agree in all rows of a band share a bucket.  In a bucket
-the signatures estimate similarities; one pair for each member that may reach the threshold is checked on the
-texts, then whatever may still join two components is.  No bucket's pairs are all emitted: they are compared
-and checked where the members meet, and only links leave the task.  A large bucket is dealt out to several
-tasks, first at random, then by all pairs of its parts, so that any two members of different components meet.
+the signatures estimate similarities.  One pair for each member that may reach the threshold is checked on the
+texts, then one for each component that a bucket might still join to another, then whatever may still join two
+components is.  No bucket's pairs are all emitted: they are compared and checked where the members meet, and
+only links leave the task.  A large bucket is dealt out to several tasks, first at random, then by all pairs of its
+parts, so that any two members of different components meet.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, shuffle_partitions, staged
+from .common import drop, fresh, release, remove_table, shared_dir, shuffle_partitions, staged
 from .components import components
 from .textvec import SOLID, blocks, mix, words
 from .token_counts import texts
@@ -163,44 +164,65 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out - 1 / 256) / (1 - 1 / 256)
 
 
-def forest(sketch: np.ndarray, how: NearDedup) -> list[tuple[int, int]]:
-    """An edge for each member that resembles an earlier one, or else a later one.
+def sketches_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
 
-    Members are in the order of their digests, the same in every bucket: a member is tied to the first one
-    that it clearly resembles, else to the most similar that may reach the threshold.  So the buckets of a group of copies ask
-    for mostly the same pairs.
+
+EDGES = "u binary, v binary, rank double"
+
+
+def first_edges(table: pa.Table, how: NearDedup) -> pa.Table:
+    """For each member of a bucket the one that it is tied to, if any, and a rank: less is better.
+
+    Members are in the order of their digests, the same in every bucket: a member is tied to the first one that
+    it clearly resembles (rank 0), else to the most similar that may reach the threshold.
     """
-    edges = []
+    table = table.sort_by("node")
+    names, sketch = table.column("node").to_pylist(), sketches_of(table)
+    u, v, rank = [], [], []
     clear = how.threshold + 0.05
-    for i in range(0, len(sketch), 64):
+    for i in range(0, len(sketch) if len(sketch) > 1 else 0, 64):
         near = agreement(sketch[i : i + 64], sketch)
         for j, row in enumerate(near):
             at = i + j
             row[at] = -1
             first = int(np.argmax(row >= clear))
-            best = first if row[first] >= clear and first < at else int(np.argmax(row))
+            sure = row[first] >= clear and first < at
+            best = first if sure else int(np.argmax(row))
             if row[best] >= how.least:
-                edges.append((at, best))
-    return edges
+                u.append(names[at])
+                v.append(names[best])
+                rank.append(0.0 if sure else 1.0 - row[best])
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "rank": pa.array(rank, pa.float64())})
 
 
-def tree_of(table: pa.Table, how: NearDedup) -> pa.Table:
-    table = table.sort_by("node")
-    names = table.column("node").to_pylist()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
-    edges = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in forest(sketch, how)} if len(names) > 1 else set()
-    return pa.table({"u": pa.array([e[0] for e in edges], pa.binary()), "v": pa.array([e[1] for e in edges], pa.binary())})
+def roots_of(part: np.ndarray):
+    """Find the root of a class, and join the classes of two, over ``part``, each member's class number."""
+    root = list(range(int(part.max(initial=-1)) + 1))
 
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
 
-def joining(table: pa.Table, how: NearDedup) -> pa.Table:
-    """Links between different components: the pairs of a block that may be links, checked on their texts.
+    def tie(i: int, j: int) -> None:
+        root[top(i)] = top(j)
 
-    Members of side 0 meet one another, those of side 1 meet those of side 2.  Pairs that links found before
-    have joined are left out.
-    """
-    names, side = table.column("node").to_pylist(), table.column("side").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1)
+    return top, tie
+
+
+def numbered(table: pa.Table) -> np.ndarray:
     _, part = np.unique(np.array([p.hex() for p in table.column("component").to_pylist()]), return_inverse=True)
+    return part
+
+
+def crossing(table: pa.Table, how: NearDedup) -> np.ndarray:
+    """Pairs of members of different components that may reach the threshold, most similar first.
+
+    Members of side 0 meet one another, those of side 1 meet those of side 2.
+    """
+    sketch, part = sketches_of(table), numbered(table)
+    side = table.column("side").to_numpy()
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     pairs, shares = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     for i in range(0, len(left), 64):
@@ -210,24 +232,48 @@ def joining(table: pa.Table, how: NearDedup) -> pa.Table:
         x, y = np.nonzero(hit)
         pairs.append(np.stack([own[x], right[y]], axis=1))
         shares.append(near[x, y])
-    found = np.concatenate(pairs)[np.argsort(-np.concatenate(shares), kind="stable")]
-    needed, whole = np.unique(found), texts(table)
+    return np.concatenate(pairs)[np.argsort(-np.concatenate(shares), kind="stable")]
+
+
+def spanning(table: pa.Table, how: NearDedup) -> pa.Table:
+    """The most similar pairs of a block that would join its components: fewer than there are components."""
+    table = table.sort_by("node")
+    names, part = table.column("node").to_pylist(), numbered(table)
+    top, tie = roots_of(part)
+    u, v = [], []
+    for x, y in crossing(table, how).tolist():
+        if top(part[x]) != top(part[y]):
+            tie(part[x], part[y])
+            u.append(min(names[x], names[y]))
+            v.append(max(names[x], names[y]))
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "rank": pa.array(np.zeros(len(u)))})
+
+
+MEMBERS = "band long, x long, y long, node binary, component binary, side int, sketch binary"
+
+
+def asked(table: pa.Table, how: NearDedup) -> pa.Table:
+    """The members of a block that are in any pair of ``crossing``."""
+    return table.select([c.split()[0] for c in MEMBERS.split(", ")]).take(pa.array(np.unique(crossing(table, how))))
+
+
+def joining(table: pa.Table, how: NearDedup) -> pa.Table:
+    """Links between different components: the pairs of a block that may be links, checked on their texts.
+
+    Pairs that links found before have joined are left out.
+    """
+    names, part = table.column("node").to_pylist(), numbered(table)
+    found, whole = crossing(table, how), texts(table)
+    needed = np.unique(found)
     of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for at, some in blocks([whole[i] for i in needed]):
         h, weight, first = shingles(some, how)
         of |= {int(needed[at + i]): (h[first[i] : first[i + 1]], weight[first[i] : first[i + 1]]) for i in range(len(some))}
-    root = list(range(len(names)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
+    top, tie = roots_of(part)
     u, v = [], []
     for x, y in found.tolist():
-        p, q = top(part[x]), top(part[y])
-        if p != q and similar(*of[x], *of[y], how):
-            root[p] = q
+        if top(part[x]) != top(part[y]) and similar(*of[x], *of[y], how):
+            tie(part[x], part[y])
             u.append(min(names[x], names[y]))
             v.append(max(names[x], names[y]))
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
@@ -261,18 +307,19 @@ def all_parts(open_: DataFrame, how: NearDedup) -> DataFrame:
     return rows.select("band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
 
 
-def texts_by_node(docs: DataFrame) -> DataFrame:
-    """node and text of every different text: a table bucketed by node in the shared folder.
+def texts_by_node(docs: DataFrame) -> tuple[DataFrame, str]:
+    """node and text of every different text: a table bucketed by node in the shared folder, and its name.
 
-    Texts are shuffled this once; whatever looks some of them up shuffles digests only.
+    Texts are shuffled this once, copies combined before; whatever looks some of them up shuffles digests only.
     """
     spark = docs.sparkSession
     name = f"quireflow_texts_{uuid.uuid4().hex}"
     n = shuffle_partitions(spark)
-    whole = docs.select(node().alias("node"), "text").repartition(n, "node").dropDuplicates(["node"])
+    whole = docs.select(node().alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
     whole.write.bucketBy(n, "node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     release(spark)
-    return spark.table(name)
+    remove_table(spark, name)
+    return spark.table(name), name
 
 
 def similar(h: np.ndarray, weight: np.ndarray, other: np.ndarray, its: np.ndarray, how: NearDedup) -> bool:
@@ -304,38 +351,66 @@ def checked(pairs: DataFrame, store: DataFrame, how: NearDedup) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+def moved(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) with the components that ``links`` join made one: only components are linked."""
+    own = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_of"))
+    ends = links.join(own("u"), "u", "left").join(own("v"), "v", "left")
+    roots = components(ends.select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v")))
+    into = roots.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    rows = found.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return staged(rows.unionByName(roots), "components")
+
+
+def open_members(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that hold several."""
+    placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
+    return staged(placed.join(mixed, "band"), "open")
+
+
 def grouped(docs: DataFrame, how: NearDedup) -> tuple[DataFrame, DataFrame]:
     """doc_id and node of every row; of every node its class, its least id and whether it stands for its class.
 
     That is the node of the least id, null ids last, then of the least digest.
+
+    Links are found in rounds; after each what they join is one component, and buckets within one component are
+    done.  First every member is tied to one other at most, of all its buckets.  Then each bucket asks for
+    the pairs that would join its components, one less than these at most.  What is still open after that is
+    checked in full where members meet: of what one component holds no pair is left, after the first such
+    round so in usual buckets, after the second in all.
     """
+    spark = docs.sparkSession
     rows = staged(signed(docs, how), "signed")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     several = staged(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     buckets = staged(banded.join(several, "band"), "members")
+    release(spark)
     sketches = nodes.select("node", "sketch")
-    tree = dealt(buckets, 0, how).join(sketches, "node").groupBy("band", "part").applyInArrow(lambda t: tree_of(t, how), "u binary, v binary").distinct()
-    store = texts_by_node(docs)
-    links = staged(checked(staged(tree, "pairs"), store, how), "links")
-    found = components(links)
-    # Of what one component holds already no pair is left.  After the first round that is so of usual buckets,
-    # after the second of all.
+    store, table = texts_by_node(docs)
+    edges = dealt(buckets, 0, how).join(sketches, "node").groupBy("band", "part").applyInArrow(lambda t: first_edges(t, how), EDGES)
+    best = edges.groupBy("u").agg(F.min(F.struct("rank", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    pairs = staged(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    found = components(staged(checked(pairs, store, how), "links"))
+    open_ = open_members(buckets, found)
+    pairs = staged(once(open_, how).join(sketches, "node").groupBy("band", "x", "y").applyInArrow(lambda t: spanning(t, how), EDGES).select("u", "v").distinct(), "pairs")
+    if not pairs.isEmpty():
+        found = moved(found, staged(checked(pairs, store, how), "links"))
     for meet, some in ((once, buckets), (all_parts, buckets.filter(F.col("n") > how.dealt))):
-        placed = some.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        open_ = staged(placed.join(mixed, "band"), "open")
+        open_ = open_members(some, found)
         if open_.isEmpty():
             break
-        met = meet(open_, how).join(sketches, "node").join(store, "node")
-        new = staged(met.groupBy("band", "x", "y").applyInArrow(lambda t: joining(t, how), "u binary, v binary").distinct(), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            found = components(links)
+        left = staged(meet(open_, how).join(sketches, "node").groupBy("band", "x", "y").applyInArrow(lambda t: asked(t, how), MEMBERS), "asked")
+        if not left.isEmpty():
+            met = left.join(store, "node").groupBy("band", "x", "y").applyInArrow(lambda t: joining(t, how), "u binary, v binary")
+            found = moved(found, staged(met.distinct(), "links"))
     placed = nodes.select("node", "id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
     named = placed.join(sizes, "component").select("node", "id", "class_id", "class_size", "copies", (F.col("node") == F.col("least.node")).alias("stands"))
-    return rows.select("doc_id", "node"), staged(named, "classes")
+    named = staged(named, "classes")
+    release(spark)
+    drop(spark, table)
+    return rows.select("doc_id", "node"), named
 
 
 def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
@@ -353,10 +428,11 @@ def classes(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
 def one_of_each(docs: DataFrame, how: NearDedup = NearDedup()) -> DataFrame:
     """``docs`` with one document of each class: that with the least id; same columns.
 
-    Of rows with the least id that with the least text digest stays, a null id only where the class has no other.
+    Of rows with the least id that with the least text digest stays, a null id only where the class has no other;
+    of rows with the same id and text any one.
     """
     _, named = grouped(docs, how)
-    best = named.filter("stands").select(F.col("node").alias("_best"), F.col("id").alias("_kept"))
-    own = docs.withColumn("_node", node())
-    out = own.join(best, (F.col("_node") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["_node"]).select(*docs.columns)
+    own, best, kept = (fresh(docs.columns, n) for n in ("_node", "_best", "_kept"))
+    stands = named.filter("stands").select(F.col("node").alias(best), F.col("id").alias(kept))
+    out = docs.withColumn(own, node()).join(stands, (F.col(own) == F.col(best)) & F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
+    return out.dropDuplicates([own]).select(*docs.columns)
