@@ -138,8 +138,29 @@ def test_suffixes(spark, monkeypatch):
     assert {r.doc_id for r in cut.collect()} >= {4, 7, 8, 9, 10, 12, None}
 
 
+@pytest.mark.parametrize("how", [suffixes.Depth(8, 4, 200), suffixes.Depth(8, 3, 10**9, 2), suffixes.Depth(20, 5, 300, 3, 1)])
+def test_suffixes_of_texts_that_repeat_themselves(spark, monkeypatch, how):
+    """Few different bytes: frequent minimizers, dealt out by suffixes; ties of ids; strings cut at their longest."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 20)) or None, "".join(rng.choice(list("abc"), int(rng.integers(0, 90))))) for _ in range(40)]
+    rows += [(30, "ab" * 2000), (31, "x" + "ab" * 1500 + "y"), (32, "é" * 40), (33, "é" * 30)]
+    docs = spark.createDataFrame([(d, t, "a", "b", 1, 2) for d, t in rows], "doc_id long, text string, row string, c0 string, spans int, size int")
+    assert Counter(tuple(r) for r in suffixes.digests(docs, how).collect()) == Counter(removed(rows, how.depth))
+    cut = suffixes.without_repeats(docs, how)
+    assert cut.columns == docs.columns and {(r.row, r.c0, r.spans, r.size) for r in cut.collect()} == {("a", "b", 1, 2)}
+
+
+def test_least_of_equal_suffixes():
+    rng = np.random.default_rng(0)
+    for depth in (3, 8, 9, 50):
+        data = bytes(rng.integers(97, 99, 200).astype(np.uint8))
+        at, key = np.arange(len(data) - depth + 1), rng.integers(0, 4, len(data) - depth + 1)
+        want = [min(key[j] for j in at if data[j : j + depth] == data[i : i + depth]) for i in at]
+        assert suffixes.least_of_equal(data + bytes(8), at, key, depth).tolist() == want
+
+
 def test_keys_come_back():
-    for keys in ([], [5], [-(2**63), 0, 2**63 - 1], [1, 1, 2, 300]):
+    for keys in ([], [5], [-(2**63), 0, 2**63 - 1], [1, 1, 2, 300], [*range(1000), 2**40]):
         k = np.array(keys, np.int64)
         assert (suffixes.unpacked_keys(suffixes.packed_keys(k)) == k).all()
 
