@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule, native operators only.
 
-Slot t of the mix sits at the golden-ratio point frac(t * g); cumulative target shares map the point to a
-source.  Slots are ranked within their source and joined to the source's blocks: its documents in shuffled
-order, laid end to end and cut into blocks of equal size.  A source with more slots than blocks starts over.
+Of N slots, slot t sits at the golden-ratio point t * g / N on a circle, g the number next to N by the golden
+ratio that shares no factor with N: the points are evenly spread from the first few on, and each of the N places
+is met once.  Cumulative numbers of slots map the point to a source.  Slots are ranked within their source and
+joined to the source's blocks: its documents in shuffled order, laid end to end and cut into blocks of equal
+size, smaller ones for a small source.  A source with more slots than blocks starts over.
 
 Ranks and running sums are made in two levels (a count per bucket, then rows within a bucket), so that one
 source with a third of all rows never meets in one task.
@@ -11,12 +13,13 @@ source with a third of all rows never meets in one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged
+from .common import WORD, fresh, staged
 
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
@@ -28,8 +31,11 @@ class Mix:
     weights: tuple[int, ...] = (1, 2, 3)
     #: A source is repeated this many times at most.
     max_repeats: int = 3
-    #: Words in a block: the mix meets each target to a few blocks.
+    #: Words in a block, more where the mix would have over ``most_slots``; a source has ``grain`` blocks at
+    #: least, or as many as words.  The mix meets each target to half a block.
     block: int = 32
+    grain: int = 1024
+    most_slots: int = 1 << 30
     #: Hexadecimal digits of the shuffle key that make a bucket of the running sum.
     digits: int = 3
     #: Slots in a bucket of the ranking.
@@ -39,11 +45,12 @@ class Mix:
 
 
 def targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """source, source_size, target and the share [lo, hi) of each source; one row per source.
+    """One row per source: source_size, target, words in a block, blocks, slots, and the slots of sources before.
 
     Targets are min(max_repeats * size, level * weight), with the level at which they sum to all sizes: the
     fixed point of sharing the excess again.  In order of cap by weight, the first source below its cap has the
-    highest level of all that are.  Sources are few, so windows over all of them are small.
+    highest level of all that are.  Slots are those of whole rounds over the source and the blocks next to the
+    rest of its target.  Windows over all sources hold one row for each.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -52,12 +59,25 @@ def targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     order = Window.orderBy("ratio", F.col("source").isNull(), "source")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
-    per = per.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
+    per = per.withColumns({"everything": F.sum("source_size").over(everything), "before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "open": F.sum("weight").over(after)})
+    per = per.withColumn("level", (F.col("everything") - F.col("before")) / F.col("open"))
     per = per.withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")))
-    running = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumns({"hi": running, "all": F.sum("target").over(everything)})
-    return per.select("source", "source_size", "target", ((F.col("hi") - F.col("target")) / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"))
+    usual = F.greatest(F.lit(mix.block).cast("long"), F.expr(f"everything div {mix.most_slots}"))
+    per = per.withColumn("block", F.greatest(F.lit(1).cast("long"), F.least(usual, F.expr(f"source_size div {mix.grain}"))))
+    per = per.withColumns({"blocks": F.expr("(source_size + block - 1) div block"), "rounds": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))})
+    rest = F.floor((F.col("target") - F.col("rounds") * F.col("source_size")) / F.col("block") + 0.5)
+    per = per.withColumn("slots", (F.col("rounds") * F.col("blocks") + F.least(F.col("blocks"), rest)).cast("long"))
+    per = per.withColumn("first", F.sum("slots").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots"))
+    return per.select("source", "source_size", "target", "block", "blocks", "slots", "first")
+
+
+def step(n: int) -> int:
+    """The number nearest above n by the golden ratio that shares no factor with n."""
+    g = max(1, round(n * GOLDEN))
+    while gcd(g, n) != 1:
+        g += 1
+    return g
 
 
 def laid(sized: DataFrame, mix: Mix) -> DataFrame:
@@ -75,24 +95,23 @@ def laid(sized: DataFrame, mix: Mix) -> DataFrame:
 def schedule(goals: DataFrame, mix: Mix) -> DataFrame:
     """source, block and ``times``: how often the mix takes each block."""
     spark = goals.sparkSession
-    total = goals.agg(F.sum("source_size")).first()[0] or 0
-    slots = spark.range(round(total / mix.block)).withColumn("point", F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN))
-    slots = slots.withColumn("cell", F.floor(F.col("point") * mix.cells))
-    grid = goals.filter("target > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * mix.cells), F.floor(F.col("hi") * mix.cells))))
-    blocks = F.ceil(F.col("source_size") / mix.block)
-    grid = grid.select("source", "lo", "hi", "cell", blocks.alias("blocks"))
+    n = int(goals.agg(F.sum("slots")).first()[0] or 0)
+    # Beyond 2^31 slots the product needs more than 63 bits.
+    kind = "long" if n < 1 << 31 else "decimal(19,0)"
+    point = (F.col("id").cast(kind) * F.lit(step(n)).cast(kind) % F.lit(max(1, n)).cast(kind)).cast("long")
+    width = max(1, -(-n // mix.cells))
+    slots = spark.range(n).withColumn("point", point).withColumn("cell", F.expr(f"point div {width}"))
+    grid = goals.filter("slots > 0").withColumn("cell", F.explode(F.expr(f"sequence(first div {width}, (first + slots - 1) div {width})")))
+    grid = grid.select("source", "first", (F.col("first") + F.col("slots")).alias("behind"), "cell", "blocks")
     dealt = slots.join(F.broadcast(grid), "cell") if goals.count() <= 1000 else slots.join(grid, "cell")
-    dealt = dealt.filter((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    dealt = dealt.select("id", "source", "blocks", F.floor(F.col("id") / mix.run).alias("run"))
+    dealt = dealt.filter((F.col("point") >= F.col("first")) & (F.col("point") < F.col("behind")))
+    dealt = dealt.select("id", "source", "blocks", F.expr(f"id div {mix.run}").alias("run"))
     counts = dealt.groupBy("source", "run").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("source").alias("c_source"), F.col("run").alias("c_run"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     ranked = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("source", "run").orderBy("id")) - 1)
     ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("run") == F.col("c_run")))
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("inside"))
-    # A rank of max_repeats times the blocks or more can only come from rounding: it is not taken.
-    ranked = ranked.filter(F.col("rank") < mix.max_repeats * F.col("blocks"))
-    return ranked.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    return ranked.groupBy("source", ((F.col("base") + F.col("inside")) % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -110,17 +129,17 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     sized = sizes(docs)
     goals = staged(targets(sized, mix), "targets")
     plan = schedule(goals, mix).select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "times")
-    spans = laid(sized, mix).withColumn("end", F.col("start") + F.col("size"))
-    first, last = F.floor(F.col("start") / mix.block), F.floor((F.col("end") - 1) / mix.block)
-    pieces = spans.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    overlap = F.least(F.col("end"), (F.col("block") + 1) * mix.block) - F.greatest(F.col("start"), F.col("block") * mix.block)
+    goals = goals.select(F.col("source").alias("g_source"), "source_size", "target", F.col("block").alias("wide"))
+    if goals.count() <= 1000:
+        goals = F.broadcast(goals)
+    spans = laid(sized, mix).withColumn("end", F.col("start") + F.col("size")).join(goals, F.col("source").eqNullSafe(F.col("g_source")))
+    pieces = spans.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr("sequence(start div wide, (end - 1) div wide)"))))
+    overlap = F.least(F.col("end"), (F.col("block") + 1) * F.col("wide")) - F.greatest(F.col("start"), F.col("block") * F.col("wide"))
+    pieces = pieces.select("doc_id", "source", "size", "start", "block", overlap.alias("overlap"))
     joined = pieces.join(plan, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")), "left")
-    taken = joined.groupBy("doc_id", "source", "size", "start").agg(F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.count("*").alias("n"))
+    taken = joined.groupBy("doc_id", "source", "size", "start").agg(F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.count("*").alias("n"))
     # Rows of size 0 with equal ids share a place; each stands for itself again.
     taken = taken.withColumn("n", F.explode(F.when(F.col("size") > 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("n").cast("int")))))
-    goals = goals.select(F.col("source").alias("g_source"), "source_size", "target")
-    if goals.count() <= 1000:
-        goals = F.broadcast(goals)
     out = taken.join(goals, F.col("source").eqNullSafe(F.col("g_source")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -132,7 +151,7 @@ def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     round are taken whole.  Rows of equal ids share their ids' words; texts without words are never taken.
     """
     names = docs.columns
-    times = mixed(docs, mix).groupBy("doc_id").agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias("_times"))
-    taken = times.filter("_times > 0").withColumnRenamed("doc_id", "_taken")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    own, often, nth = (fresh(names, n) for n in ("_taken", "_times", "_nth"))
+    times = mixed(docs, mix).groupBy(F.col("doc_id").alias(own)).agg(F.round(F.sum("taken") / F.greatest(F.lit(1), F.sum("size"))).cast("int").alias(often))
+    joined = docs.join(times.filter(F.col(often) > 0), F.col("doc_id").eqNullSafe(F.col(own)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*names)

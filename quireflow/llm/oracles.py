@@ -31,16 +31,18 @@ r as (select *, 3 * source_size as cap, 3 * source_size / w as ratio from s),
 l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
   / sum(w) over (order by ratio, source nulls last rows between current row and unbounded following) as level from r),
 g as (select source, source_size, w, least(cap::double, max(case when level <= ratio then level end) over () * w) as target from l),
-q as (select *, sum(target) over (order by source nulls last rows between unbounded preceding and current row) as hi, sum(target) over () as al, ceil(source_size / 32)::bigint as blocks from g),
-t as (select unnest(range(round_even((select sum(size) from d) / 32.0, 0)::bigint)) as id),
-p as (select id, id * 0.6180339887498949::double - floor(id * 0.6180339887498949::double) as point from t),
-k as (select source, blocks, row_number() over (partition by source order by id) - 1 as rank from p join q on point >= (hi - target) / al and point < hi / al),
-n as (select source, rank % blocks as block, count(*) as times from k where rank < 3 * blocks group by all),
+b as (select *, greatest(1, least(greatest(32, sum(source_size) over () // 1073741824), source_size // 1024))::bigint as block, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as cycles from g),
+q0 as (select *, (source_size + block - 1) // block as blocks from b),
+q1 as (select *, cycles * blocks + least(blocks, floor((target - cycles * source_size) / block + 0.5))::bigint as slots from q0),
+q as (select *, sum(slots) over (order by source nulls last rows between unbounded preceding and current row) - slots as first, (sum(slots) over ())::bigint as n from q1),
+u as (select any_value(n) as n, round(any_value(n) * 0.6180339887498949::double)::bigint as g from q),
+m as (select n, min(x) as m from (select n, unnest(range(greatest(1, g), g + 1000)) as x from u) where gcd(x, n) = 1 group by n),
+k as (select source, blocks, row_number() over (partition by source order by id) - 1 as rank from (select id, (id::hugeint * m % n)::bigint as p from (select unnest(range(n)) as id, m, n from m)) join q on p >= first and p < first + slots),
+n as (select source, rank % blocks as block, count(*) as times from k group by all),
 e as (select *, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d),
-x as (select *, unnest(case when size > 0 then range(start // 32, (start + size - 1) // 32 + 1) else [null] end) as block from e)
-select x.doc_id, x.size, q.source_size, q.target, coalesce(sum((least(start + size, (x.block + 1) * 32) - greatest(start, x.block * 32)) * times), 0)::bigint as taken
-from x left join n on x.source is not distinct from n.source and x.block = n.block join q on x.source is not distinct from q.source
-group by x.doc_id, x.size, q.source_size, q.target, x.start"""
+x as (select e.*, q.block as wide, source_size, target, unnest(case when size > 0 then range(start // q.block, (start + size - 1) // q.block + 1) else [null] end) as block from e join q on e.source is not distinct from q.source)
+select x.doc_id, x.size, x.source_size, x.target, coalesce(sum((least(start + size, (x.block + 1) * wide) - greatest(start, x.block * wide)) * times), 0)::bigint as taken
+from x left join n on x.source is not distinct from n.source and x.block = n.block group by x.doc_id, x.size, x.source_size, x.target, x.start"""
 
 WORDS = ", ".join(f"'{w}'" for w in COMMON_WORDS)
 RULES = rf"""
