@@ -55,16 +55,18 @@ rep as (select doc_id, count(*) as n from marked group by doc_id),
 lines as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) as line from d),
 dup as (select doc_id, count(*) - count(distinct line) as n from lines group by doc_id),
 f as (select d.doc_id, lang, len(words) as n_words, coalesce(length(array_to_string(words, '')), 0) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words,
-  length(text) as n_chars, length(regexp_replace(text, '[a-z\x20\x09-\x0D\x{{80}}-\x{{10FFFF}}]+', '', 'g')) as n_rest, len(regexp_extract_all(text, '[A-Z]')) as upper, len(regexp_extract_all(text, '[0-9]')) as digit, strlen(text) - length(text) as beyond
+  len(regexp_extract_all(text, '[a-z]')) as lower, len(regexp_extract_all(text, '[A-Z]')) as upper, len(regexp_extract_all(text, '[0-9]')) as digit, len(regexp_extract_all(text, '[\x20\x09-\x0D]')) as space,
+  length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) as beyond, length(text) as n_chars
   from d left join dup using (doc_id) left join rep using (doc_id)),
-ch as (select doc_id, lang, unnest([greatest(0, word_chars - n_rest - beyond), upper, digit, n_chars - word_chars, n_symbols, n_rest - upper - digit - n_symbols, beyond]) as n, unnest([1, 2, 3, 4, 5, 6, 7]) as bin from f),
-cw as (select d.doc_id, lang, v.word as bin, count(w.word) as n from d cross join (select unnest([{WORDS}]) as word) v left join w on w.doc_id = d.doc_id and w.word = v.word group by all),
+ch as (select doc_id, lang, unnest([lower, upper, digit, space, n_symbols, n_chars - lower - upper - digit - space - n_symbols - beyond, beyond]) as n, unnest([1, 2, 3, 4, 5, 6, 7]) as bin from f),
+kw as (select d.doc_id, lang, v.word as bin, count(w.word) as n from d cross join (select unnest([{WORDS}]) as word) v left join w on w.doc_id = d.doc_id and w.word = v.word group by all),
+cw as (select * from kw union all select d.doc_id, any_value(d.lang), ' other', any_value(len(d.words)) - sum(kw.n) from d join kw using (doc_id) group by d.doc_id),
 p1 as (select doc_id, n::double / nullif(sum(n) over (partition by doc_id), 0) as p, sum(n) over (partition by lang, bin)::double / nullif(sum(n) over (partition by lang), 0) as q, sum(n) over (partition by doc_id) as total from ch),
 p2 as (select doc_id, n::double / nullif(sum(n) over (partition by doc_id), 0) as p, sum(n) over (partition by lang, bin)::double / nullif(sum(n) over (partition by lang), 0) as q, sum(n) over (partition by doc_id) as total from cw),
 j1 as (select doc_id, any_value(total) as total, sqrt(greatest(0, sum((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2)) as dist from p1 group by doc_id),
 j2 as (select doc_id, any_value(total) as total, sqrt(greatest(0, sum((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2)) as dist from p2 group by doc_id),
-z as (select f.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, case when j1.total >= 200 then j1.dist end as char_distance, case when j2.total >= 20 then j2.dist end as word_distance from f join j1 using (doc_id) join j2 using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(char_distance, 0) <= 0.30 and coalesce(word_distance, 0) <= 0.70 as kept,
+z as (select f.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, case when j1.total >= 200 then j1.dist end as char_distance, case when n_words >= 200 then j2.dist end as word_distance from f join j1 using (doc_id) join j2 using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(char_distance, 0) <= 0.30 and coalesce(word_distance, 0) <= 0.24 as kept,
  round(char_distance, 4) as char_distance, round(word_distance, 4) as word_distance from z"""
 
 ORACLE = {"op5_warc_revisits": WARC, "op7_quality_rules": RULES, "op9_source_mix": MIX}

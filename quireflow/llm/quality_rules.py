@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, native operators only.
 
-Each document's histogram over character classes and over common words is compared with the histogram of
-all documents of its language by Jensen-Shannon distance (base 2, so 0 to 1).  A histogram with too few
-observations is not judged: short texts have wild histograms.
+Each document's histogram over character classes and over words (26 common ones, and all others as one) is
+compared with the histogram of all documents of its language by Jensen-Shannon distance (base 2, so 0 to 1).
+Documents of too few characters or words are not judged by it: short texts have wild histograms.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ COMMON_WORDS = (
     "a", "and", "das", "de", "del", "den", "der", "des", "die", "el", "en", "et", "in", "is", "la", "le", "les", "los",
     "of", "que", "that", "the", "to", "und", "von", "y",
 )
-#: The character classes of the first histogram; bytes beyond one a character stand for what is not ASCII.
+#: The character classes of the first histogram; ``beyond`` are the characters beyond ASCII.
 CHAR_CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "beyond")
 #: Runs of the classes that make up most of any text.  What they leave is short, and the other classes are
 #: counted in it.
@@ -30,11 +30,11 @@ USUAL = r"[a-z\x20\x09-\x0D\x{80}-\x{10FFFF}]++"
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Least characters for the class histogram, least common words for the word histogram.
+    #: Least characters for the class histogram, least words for the word histogram.
     min_chars: int = 200
-    min_common: int = 20
+    min_judged_words: int = 200
     max_char_distance: float = 0.30
-    max_word_distance: float = 0.70
+    max_word_distance: float = 0.24
 
 
 def words_of(text: Column) -> Column:
@@ -99,14 +99,16 @@ def features(docs: DataFrame) -> DataFrame:
         F.length(rest).alias("n_rest"),
         F.regexp_count(rest, F.lit("[A-Z]")).alias("upper"),
         F.regexp_count(rest, F.lit("[0-9]")).alias("digit"),
-        (F.octet_length(text) - F.length(text)).alias("beyond"),
+        F.length(F.regexp_replace(text, r"[\x00-\x7F]++", "")).alias("beyond"),
         bound(common, lambda c: F.array(*[count_of(c, v) for v in COMMON_WORDS])).alias("common"),
     )
     classes = (
         F.greatest(F.lit(0), F.col("word_chars") - F.col("n_rest") - F.col("beyond")), F.col("upper"), F.col("digit"), F.col("n_chars") - F.col("word_chars"), F.col("n_symbols"),
         F.col("n_rest") - F.col("upper") - F.col("digit") - F.col("n_symbols"), F.col("beyond"),
     )
-    return counted.withColumn("chars", F.array(*[c.cast("double") for c in classes])).drop("n_chars", "n_rest", "upper", "digit", "beyond")
+    other = F.col("n_words") - total(F.col("common"))
+    counted = counted.withColumns({"chars": F.array(*[c.cast("double") for c in classes]), "common": F.concat("common", F.array(other))})
+    return counted.drop("n_chars", "n_rest", "upper", "digit", "beyond")
 
 
 def total(a: Column) -> Column:
@@ -130,11 +132,11 @@ def js_distance(p: Column, q: Column) -> Column:
 def references(counted: DataFrame) -> DataFrame:
     """One row per language: both histograms summed over all its documents.  A null language is one too."""
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
-    sums += [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(COMMON_WORDS))]
+    sums += [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(COMMON_WORDS) + 1)]
     return counted.groupBy("lang").agg(*sums).select(
         F.col("lang").alias("ref_lang"),
         F.array(*[F.col(f"c{i}") for i in range(len(CHAR_CLASSES))]).alias("ref_chars"),
-        F.array(*[F.col(f"w{i}") for i in range(len(COMMON_WORDS))]).alias("ref_common"),
+        F.array(*[F.col(f"w{i}") for i in range(len(COMMON_WORDS) + 1)]).alias("ref_common"),
     )
 
 
@@ -142,7 +144,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): counts, distances, ``base_failed`` and ``kept``.
 
     Defined results: a null or empty text has no words and fails the base rule; a language's only document
-    has distance 0 to its reference; repeated rows are judged alike; other columns are ignored.
+    has distance 0 to its reference; repeated rows are judged alike; texts of any length are judged whole; an
+    empty table gives no rows; other columns are ignored.
     """
     counted = staged(features(docs), "rules")
     refs = references(counted)
@@ -152,7 +155,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     joined = counted.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     judged = joined.withColumns({
         "char_distance": F.when(total(F.col("chars")) >= rules.min_chars, js_distance(F.col("chars"), F.col("ref_chars"))),
-        "word_distance": F.when(total(F.col("common")) >= rules.min_common, js_distance(F.col("common"), F.col("ref_common"))),
+        "word_distance": F.when(F.col("n_words") >= rules.min_judged_words, js_distance(F.col("common"), F.col("ref_common"))),
         "base_failed": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
     })
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
