@@ -202,6 +202,15 @@ def row_column(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *map(unpacked_keys, table.column(name).to_pylist())])
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def squeezed_column(table: pa.Table, name: str) -> bytes:
+    return b"".join(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in table.column(name).to_pylist())
+
+
 FOUND = "row long, value long, times long"
 
 
@@ -282,7 +291,7 @@ class Strings:
             if j > i or y > x:
                 e = slice(first[i], first[j])
                 rows.append((
-                    b, b"".join([texts[n] for n in of[i:j].tolist()]), size[of[i:j]].astype(np.uint32).tobytes(), entries[i:j].tobytes(), key[e].tobytes(), row[e].tobytes(),
+                    b, squeezed(b"".join([texts[n] for n in of[i:j].tolist()])), size[of[i:j]].astype(np.uint32).tobytes(), entries[i:j].tobytes(), squeezed(key[e].tobytes()), squeezed(row[e].tobytes()),
                     place[e].astype(np.uint32).tobytes(), found_row[x:y].tobytes(), found_value[x:y].tobytes(),
                 ))
         self.clear()
@@ -344,8 +353,8 @@ def least_of_equal(data: bytes, at: np.ndarray, key: np.ndarray, depth: int) ->
 
 def met_strings(table: pa.Table, how: Depth) -> pa.Table:
     """(row, span) of the bytes that a bucket's strings share with a document of smaller key."""
-    data, size, entries = b"".join(table.column("text").to_pylist()), column(table, "size", np.uint32).astype(np.int64), column(table, "entries", np.uint32)
-    key, row, place = column(table, "key", np.int64), column(table, "row", np.int64), column(table, "place", np.uint32).astype(np.int64)
+    data, size, entries = squeezed_column(table, "text"), column(table, "size", np.uint32).astype(np.int64), column(table, "entries", np.uint32)
+    key, row, place = np.frombuffer(squeezed_column(table, "key"), np.int64), np.frombuffer(squeezed_column(table, "row"), np.int64), column(table, "place", np.uint32).astype(np.int64)
     ends = np.cumsum(size)
     ids: dict[bytes, int] = {}
     of = np.array([ids.setdefault(data[e - s : e], len(ids)) for e, s in zip(ends.tolist(), size.tolist(), strict=True)], np.int64)
