@@ -3,6 +3,10 @@
 Wherever a common word stands (the anchor), it and the chain of the next content words make one signature; a
 document's fingerprint is the set of its signatures.  Navigation and lists have few common words, so that
 fingerprints follow the running text.
+
+A text may have few anchors or none.  So each fingerprint has a second part, kept apart: the least signatures that
+take every word as an anchor.  Two fingerprints are compared by the same part of both: by the first if both
+have enough of it, else by the second.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ ANCHORS = (
 class Spots:
     #: Content words in a chain.
     chain: int = 3
+    #: Anchored signatures that a fingerprint is compared by, at least, and the most others that it keeps.
+    anchored: int = 8
+    others: int = 64
     #: Bytes of text, about, that are compared together, and the most parts: beyond, parts grow.
     part_bytes: int = 8 << 20
     most_parts: int = 1 << 20
@@ -53,41 +60,42 @@ def chained(heads: np.ndarray, after: np.ndarray, hash_: np.ndarray, doc: np.nda
     return s, doc[heads]
 
 
-def fingerprints(rows: list[bytes], how: Spots = Spots()) -> list[np.ndarray]:
-    """The sorted 32-bit signatures of each text.
+Print = tuple[np.ndarray, np.ndarray]
+
 
-    A text without a whole chain takes every word as an anchor; one too short even for that has one
-    signature of all its words; one without words, of its bytes; an empty one has none.
+def fingerprints(rows: list[bytes], how: Spots = Spots()) -> list[Print]:
+    """The sorted 32-bit signatures of each text: the anchored ones, and the least of those at every word.
+
+    A text too short for a chain has one signature of all its words at every word; one without words, of its
+    bytes; an empty one has none.
     """
-    out: list[np.ndarray] = []
+    out: list[Print] = []
     for _, part in blocks(rows):
         w = words(part, LETTER, fold=True)
         doc = np.repeat(np.arange(len(part)), np.diff(w.first))
         at = np.minimum(np.searchsorted(_TABLE, w.hash), len(_TABLE) - 1)
-        common = _TABLE[at] == w.hash
-        s, d = chained(np.flatnonzero(common), np.flatnonzero(~common), w.hash, doc, how.chain)
-        bare = np.bincount(d, minlength=len(part)) == 0
-        everywhere = np.flatnonzero(bare[doc]) if len(doc) else np.zeros(0, np.int64)
-        more, more_d = chained(everywhere, everywhere, w.hash, doc, how.chain)
-        s, d = np.concatenate([s, more]) >> np.uint64(32), np.concatenate([d, more_d])
-        order = np.lexsort((s, d))
-        s, first = s[order].astype(np.uint32), np.searchsorted(d[order], np.arange(len(part) + 1))
+        common, all_ = _TABLE[at] == w.hash, np.arange(len(w.hash))
+        parts = []
+        for s, d in (chained(np.flatnonzero(common), np.flatnonzero(~common), w.hash, doc, how.chain), chained(all_, all_, w.hash, doc, how.chain)):
+            s = s >> np.uint64(32)
+            order = np.lexsort((s, d))
+            parts.append((s[order].astype(np.uint32), np.searchsorted(d[order], np.arange(len(part) + 1))))
         for n, text in enumerate(part):
-            own = np.unique(s[first[n] : first[n + 1]])
-            if not len(own) and text:
+            anchored, every = (np.unique(s[first[n] : first[n + 1]]) for s, first in parts)
+            if not len(every) and text:
                 mine = w.hash[w.first[n] : w.first[n + 1]].tobytes() or text
-                own = np.frombuffer(hashlib.md5(mine).digest()[:4], "<u4")
-            out.append(own)
+                every = np.frombuffer(hashlib.md5(mine).digest()[:4], "<u4")
+            out.append((anchored, every[: how.others]))
     return out
 
 
-def written(sigs: np.ndarray) -> str:
-    """Eight hexadecimal digits for each signature, in order."""
-    return sigs.astype(">u4").tobytes().hex()
+def written(print_: Print) -> str:
+    """Eight hexadecimal digits for each signature, in order, the two parts with a full stop between."""
+    return ".".join(s.astype(">u4").tobytes().hex() for s in print_)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity of two fingerprints; 0 without looking where their lengths rule ``least`` out."""
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard similarity of two sets; 0 without looking where their lengths rule ``least`` out."""
     if not len(a) and not len(b):
         return 1.0
     if min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -96,6 +104,20 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def likeness(p: Print, q: Print, how: Spots = Spots(), least: float = 0.0) -> float:
+    """Jaccard similarity of the anchored signatures; where either text has too few, of those at every word.
+
+    Of the latter only the least are known: their share among the least of the union estimates it, and is it
+    where neither text has more.
+    """
+    if min(len(p[0]), len(q[0])) >= how.anchored:
+        return jaccard(p[0], q[0], least)
+    if max(len(p[1]), len(q[1])) < how.others:
+        return jaccard(p[1], q[1], least)
+    union = np.union1d(p[1], q[1])[: how.others]
+    return float(np.isin(union, np.intersect1d(p[1], q[1], assume_unique=True)).mean())
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -145,12 +167,12 @@ def compared(docs: DataFrame, how: Spots = Spots()) -> DataFrame:
         for t, after in zip(text, text[1:], strict=False):
             cut = len(t) // 3
             edited.append(t[: len(t) - cut] + after[:cut])
-        prints, other = fingerprints([t.encode() for t in text], how), fingerprints([t.encode() for t in edited], how)
+        prints, other = fingerprints([t.encode("utf-8", "replace") for t in text], how), fingerprints([t.encode("utf-8", "replace") for t in edited], how)
         n = len(edited)
         return pa.table([
             pa.array([r[3] for r in order[:n]], pa.int64()), pa.array([len(t) for t in text[:n]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             pa.array([written(p) for p in prints[:n]], pa.string()), pa.array([written(p) for p in other], pa.string()),
-            pa.array([likeness(p, q) for p, q in zip(prints, other, strict=False)], pa.float64()), pa.array([likeness(p, q) for p, q in zip(prints, prints[1:], strict=False)], pa.float64()),
+            pa.array([likeness(p, q, how) for p, q in zip(prints, other, strict=False)], pa.float64()), pa.array([likeness(p, q, how) for p, q in zip(prints, prints[1:], strict=False)], pa.float64()),
         ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     dealt = keyed.mapInArrow(deal, "part long, doc_id long, text string, key long, guest boolean")
@@ -158,19 +180,21 @@ def compared(docs: DataFrame, how: Spots = Spots()) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, how: Spots = Spots()) -> DataFrame:
-    """Pairs of different fingerprints (u < v, by hexadecimal text) of likeness ``threshold`` or more.
+    """Pairs of different sets of anchored signatures (u < v, written) of similarity ``threshold`` or more.
 
-    Fingerprints are partitioned by their length so that only equal or neighbouring partitions can match.
-    In a partition they meet by the signatures of their prefixes: of two sets that are alike, the first few
-    signatures in a common order must share one.  Equal fingerprints are one.
+    Sets are partitioned by their length so that only equal or neighbouring partitions can match.  In a
+    partition they meet by the signatures of their prefixes: of two sets that are alike, the first few
+    signatures in a common order must share one.  Equal sets are one; texts of fewer anchored signatures than
+    ``how.anchored`` are left out, null and empty ones too; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = fingerprints([(t or "").encode() for t in batch.column(0).to_pylist()], how)
-            yield pa.RecordBatch.from_arrays([pa.array([written(p) for p in prints]), pa.array([p.astype(np.int64).tolist() for p in prints], pa.list_(pa.int64()))], ["print", "sigs"])
+            prints = [p for p, _ in fingerprints([(t or "").encode() for t in batch.column(0).to_pylist()], how)]
+            yield pa.RecordBatch.from_arrays([pa.array([written((p,)) for p in prints]), pa.array([p.astype(np.int64).tolist() for p in prints], pa.list_(pa.int64()))], ["print", "sigs"])
 
-    sets = staged(docs.select("text").mapInArrow(run, "print string, sigs array<long>").filter("size(sigs) > 0").groupBy("print").agg(F.first("sigs").alias("sigs")), "prints")
+    whole = docs.select("text").mapInArrow(run, "print string, sigs array<long>").filter(F.size("sigs") >= how.anchored)
+    sets = staged(whole.groupBy("print").agg(F.first("sigs").alias("sigs")), "prints")
     size = F.size("sigs")
     level = F.floor(F.log(size) / -np.log(threshold) + 1e-9)
     first = F.explode(F.slice("sigs", F.lit(1), size - F.ceil(threshold * size - 1e-9) + 1))
