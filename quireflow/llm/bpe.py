@@ -103,6 +103,10 @@ class WordBpe:
         return made.tobytes()
 
 
+#: Bytes of a piece that a cache keeps at most, so that its entries bound its memory.
+KEPT = 64
+
+
 class Cache(dict):
     """A worker's cache: ``make`` gives what is missing; over ``limit`` entries it starts again from ``base``."""
 
@@ -111,8 +115,10 @@ class Cache(dict):
         self.make, self.base, self.limit = make, base or {}, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.base)
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= KEPT:
+            if len(self) >= self.limit:
+                self.clear()
+                self.update(self.base)
+            self[key] = value
         return value

@@ -2,8 +2,7 @@
 
 Texts are cut before single spaces, where no pre-token of the byte-level pattern is ever cut.  The lengths of
 frequent pieces come from a broadcast table of bounded size; any other piece is encoded once per worker and
-kept in its cache.  Texts in which a space touches other white space are encoded whole, since there the
-pattern looks across the cut.
+kept in its cache.  Where a space touches other white space the pattern looks across it: there no cut is made.
 """
 
 from __future__ import annotations
@@ -17,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe, Cache, tokenizer_path
+from .bpe import KEPT, ByteBpe, Cache, tokenizer_path
 
 TOUCHING = re.compile(r"\s | \s|\s\Z|\A\s")
+#: A single space between other characters than white space.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def frequent(docs: DataFrame, how: Counting) -> list[bytes]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for text in texts(batch):
-                seen.update(text.split(b" ")[1:])
+                seen.update(p for p in text.split(b" ")[1:] if len(p) <= KEPT)
             if len(seen) > 20 * how.per_task:
                 seen = Counter(dict(seen.most_common(10 * how.per_task)))
         best = [x for x in seen.most_common(how.per_task) if x[0]]
@@ -60,7 +61,7 @@ def frequent(docs: DataFrame, how: Counting) -> list[bytes]:
 
 
 class TextCounter:
-    """Counts the tokens of texts in a worker."""
+    """Counts the tokens of texts in a worker.  What is no UTF-8 counts as its replacement characters."""
 
     def __init__(self, path: str, table: dict[bytes, int], limit: int) -> None:
         self.bpe = ByteBpe(path)
@@ -70,9 +71,12 @@ class TextCounter:
     def __call__(self, text: bytes) -> int:
         if not text:
             return 0
-        if TOUCHING.search(whole := text.decode("utf-8", "replace")):
-            return self.bpe.count(whole)
-        head, *rest = text.split(b" ")
+        try:
+            whole = text.decode()
+        except UnicodeDecodeError:
+            whole = text.decode("utf-8", "replace")
+            text = whole.encode()
+        head, *rest = [p.encode() for p in BETWEEN.split(whole)] if TOUCHING.search(whole) else text.split(b" ")
         return self.first[head] + sum(map(self.later.__getitem__, rest))
 
 
@@ -80,10 +84,11 @@ def token_counts(docs: DataFrame, how: Counting) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs`` (doc_id, text).
 
     Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; texts of
-    any length are counted whole; an empty table gives no rows; other columns are ignored.
+    any length are counted whole; bytes that are no UTF-8 count as replacement characters; an empty table gives
+    no rows; other columns are ignored.
     """
     bpe = ByteBpe(how.path)
-    table = {p: bpe.count(" " + p.decode()) for p in frequent(docs, how)}
+    table = {p: bpe.count(" " + p.decode("utf-8", "replace")) for p in frequent(docs, how)}
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
