@@ -3,8 +3,10 @@
 Documents are range-sorted by length and gaps by size.  As both are integers up to the capacity, either sort
 collapses into runs of equal values, and one sweep matches run against run: the longest documents not yet
 placed go to the smallest gap that holds them (its successor), ranks within the runs say which document goes
-to which gap, the gaps are updated, and the next sweep begins.  The sweeps need the number of documents of
-each length only, at most ``capacity`` numbers; ranking and placing the documents is distributed.
+to which gap, the gaps are updated, and the next sweep begins.  That fills the sequences as placing the documents
+one by one, longest first, each into the smallest gap that holds it, does.  The sweeps need the number of documents of
+each length only, at most ``capacity`` numbers however many documents there are, so they run on the driver;
+ranking and placing the documents is distributed.
 """
 
 from __future__ import annotations
