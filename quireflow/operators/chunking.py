@@ -1,22 +1,26 @@
-"""Markdown to parent and child sections, natively: an ordered fold per document, no shuffle.
+"""Markdown to parent and child sections.
 
-A document's blocks are an array in its row.  Folds over it give only the places where sections begin and
-end, in state of constant size besides these; the sections are then slices.
+Blocks are found natively: runs of blocks between separators get their pages at once.  Sections are cut in one
+pass over a document's blocks, linear in its length, in Arrow batches: a document is a row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import UD, UM, WS, U, collapse, has_content, lstrip, normalize_markdown, page_ranges, strip
+from ..functions.text import CONTENT, UD, WS, U, has_content, normalize_markdown, page_ranges, strip
 from ..options import ChunkingOptions
 
 DEFAULT_TITLE = "Document section"
 MARKER = r"--- Page (\d+) ---"
 HEADING = rf"{UD}\A(#{{1,6}}){WS}+(.+)\z"
-BLOCK = "struct<text:string,page:bigint,level:int,title:string,marker:boolean,body:boolean,len:int>"
-NO_PATH = "cast(array(null, null, null, null, null, null) as array<string>)"
 
 
 def block(text: Column, page: Column) -> Column:
@@ -35,152 +39,170 @@ def block(text: Column, page: Column) -> Column:
     )
 
 
-def separator(page: Column) -> Column:
-    return F.concat(F.lit("--- Page "), page.cast("string"), F.lit(" ---"))
+def blocks_of(text: Column) -> Column:
+    """Blocks between empty lines; each takes the page of the latest separator at or before it."""
+    parts = F.filter(F.transform(F.split(text, rf"{U}\n{WS}*\n"), strip), lambda b: b != "")
+    place = "struct<at:int,page:bigint>"
 
+    def paged(p: Column) -> Column:
+        marks = F.transform(p, lambda b, i: F.struct(i.cast("int").alias("at"), F.regexp_extract(b, rf"{UD}\A{MARKER}\z", 1).alias("own")))
+        marks = F.filter(marks, lambda m: m["own"] != "")
+        marks = F.transform(marks, lambda m: F.struct(m["at"].alias("at"), m["own"].try_cast("bigint").alias("page")))
+        return F.concat(F.expr(f"array(cast(named_struct('at', 0, 'page', null) as {place}))"), marks)
 
-def marker_block(page: Column) -> Column:
-    text = separator(page)
-    none = lambda kind: F.lit(None).cast(kind)
-    return F.struct(
-        text.alias("text"), page.alias("page"), none("int").alias("level"), none("string").alias("title"),
-        F.lit(True).alias("marker"), F.lit(False).alias("body"), F.length(text).alias("len"),
-    )
+    def run(p: Column, marks: Column) -> Column:
+        def of(m: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(marks, k + 1)["at"], F.size(p))
+            return F.transform(F.slice(p, m["at"] + 1, end - m["at"]), lambda b: block(b, m["page"]))
 
+        return F.flatten(F.transform(marks, of))
 
-def blocks_of(text: Column) -> Column:
-    """Blocks between empty lines; each takes the page of the latest separator at or before it."""
-    parts = F.filter(F.transform(F.split(text, rf"{U}\n{WS}*\n"), strip), lambda b: b != "")
-    state = F.struct(F.lit(None).cast("bigint").alias("page"), F.expr(f"cast(array() as array<{BLOCK}>)").alias("made"))
+    return F.transform(F.array(parts), lambda p: F.transform(F.array(paged(p)), lambda marks: run(p, marks))[0])[0]
 
-    def step(s: Column, b: Column) -> Column:
-        return F.transform(F.array(block(b, s["page"])), lambda made: F.struct(made["page"].alias("page"), F.array_append(s["made"], made).alias("made")))[0]
 
-    return F.aggregate(parts, state, step, lambda s: s["made"])
+def pages_of(blocks: Column) -> Column:
+    return page_ranges(F.transform(blocks, lambda b: b["page"]))
 
 
-def title_of(path: Column) -> Column:
-    joined = F.array_join(path, " > ")
-    return F.when(joined != "", joined).otherwise(F.lit(DEFAULT_TITLE))
+class Block(NamedTuple):
+    text: str
+    page: int | None = None
+    level: int | None = None
+    title: str = ""
+    marker: bool = False
+    body: bool = False
 
 
-def moved(path: Column, b: Column) -> Column:
-    """The heading path behind heading ``b``: it replaces its level and drops the levels below."""
-    levels = F.sequence(F.lit(1), F.lit(6))
-    return F.transform(levels, lambda k: F.when(k < b["level"], F.get(path, k - 1)).when(k == b["level"], b["title"]))
+def read_blocks(text: str) -> list[Block]:
+    """The blocks of a normalized text, as ``blocks_of`` finds them."""
+    found, page = [], None
+    for part in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        if own := re.fullmatch(MARKER, part):
+            page = int(own[1])
+            found.append(Block(part, page, marker=True))
+        elif head := re.fullmatch(r"(#{1,6})\s+(.+)", part):
+            found.append(Block(part, page, len(head[1]), head[2].strip()))
+        else:
+            found.append(Block(part, page, body=re.search(CONTENT, part.lower()) is not None))
+    return found
 
 
-def sections(blocks: Column, limit: int, headings: bool) -> Column:
-    """Where sections begin and end: struct(first, last, lead, fallback) each.
+class Path:
+    """The headings above a place, one for each level."""
 
-    ``lead`` is the page of a separator put before the first block.  With ``headings`` a heading of level one
-    or two begins a section once the current one has content, and takes along a separator that stands last;
-    headings never overflow a section then.  A block that would overflow begins the next.  What has no content
-    at the end is dropped.
-    """
-    state = F.struct(
-        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("bigint").alias("lead"), F.lit(0).alias("len"),
-        F.lit(False).alias("body"), F.lit(None).cast("bigint").alias("ends_with"), F.expr(NO_PATH).alias("path"), F.lit(DEFAULT_TITLE).alias("fallback"),
-        F.expr("cast(array() as array<struct<first:int,last:int,lead:bigint,fallback:string>>)").alias("made"),
-    )
-
-    def cut(s: Column, last: Column) -> Column:
-        return F.array_append(s["made"], F.struct(s["first"].alias("first"), last.cast("int").alias("last"), s["lead"].alias("lead"), s["fallback"].alias("fallback")))
-
-    def step(s: Column, b: Column) -> Column:
-        heads = b["level"].isNotNull() if headings else F.lit(False)
-        at_heading = heads & (b["level"] <= 2) & s["body"]
-        too_long = ~heads & ~b["marker"] & s["body"] & F.lit(limit > 0) & (s["len"] + b["len"] > limit)
-        splits = F.coalesce(at_heading, F.lit(False)) | too_long
-        carried = F.coalesce(at_heading, F.lit(False)) & s["ends_with"].isNotNull()
-        lead = F.when(splits, F.when(carried, s["ends_with"]).otherwise(b["page"])).otherwise(s["lead"])
-        lead_len = F.when(lead.isNotNull(), F.length(separator(lead)) + 2).otherwise(F.lit(0))
-        path = F.when(heads, moved(s["path"], b)).otherwise(s["path"])
-        renamed = heads & (splits | (s["fallback"] == DEFAULT_TITLE))
-        return F.struct(
-            F.when(splits | s["first"].isNull(), b["at"]).otherwise(s["first"]).alias("first"),
-            b["at"].alias("last"),
-            lead.alias("lead"),
-            F.when(splits, lead_len + b["len"]).when(s["first"].isNull(), b["len"]).otherwise(s["len"] + 2 + b["len"]).alias("len"),
-            F.when(splits, b["body"]).otherwise(s["body"] | b["body"]).alias("body"),
-            F.when(b["marker"], b["page"]).alias("ends_with"),
-            path.alias("path"),
-            F.when(renamed, title_of(moved(s["path"], b))).otherwise(s["fallback"]).alias("fallback"),
-            F.when(splits, cut(s, s["last"] - carried.cast("int"))).otherwise(s["made"]).alias("made"),
-        )
-
-    numbered = F.transform(blocks, lambda b, i: b.withField("at", i))
-    return F.aggregate(numbered, state, step, lambda s: F.when(s["body"], cut(s, s["last"])).otherwise(s["made"]))
-
-
-def sliced(blocks: Column, s: Column) -> Column:
-    own = F.slice(blocks, s["first"] + 1, s["last"] - s["first"] + 1)
-    return F.when(s["lead"].isNotNull(), F.concat(F.array(marker_block(s["lead"])), own)).otherwise(own)
-
-
-def section_title(blocks: Column, fallback: Column) -> Column:
-    """The path of the section's own headings; ``fallback`` if it has none, or none of level one."""
-    heads = F.filter(blocks, lambda b: b["level"].isNotNull())
-    path = F.aggregate(heads, F.expr(NO_PATH), lambda p, b: moved(p, b))
-    top = F.exists(heads, lambda b: b["level"] == 1)
-    return F.when(F.size(heads) == 0, fallback).when(~top & (fallback != DEFAULT_TITLE), fallback).otherwise(title_of(path))
-
-
-def joined(blocks: Column) -> Column:
-    return strip(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n"))
-
-
-def plain(blocks: Column) -> Column:
-    """A section's text on one line, without separators and heading marks."""
-    text = joined(F.filter(blocks, lambda b: ~b["marker"]))
-    return strip(collapse(F.regexp_replace(text, rf"{UM}^#{{1,6}}{WS}+", "")))
-
-
-def tail(text: Column, size: int) -> Column:
-    """The last ``size`` characters as context; the whole if it is no longer."""
-    if size <= 0:
-        return F.lit("")
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.lit("..."), lstrip(F.right(text, F.lit(size)))))
+    def __init__(self) -> None:
+        self.names: list[str | None] = [None] * 6
 
+    def enter(self, b: Block) -> None:
+        self.names[b.level - 1 :] = [b.title, *[None] * (6 - b.level)]
 
-def pages_of(blocks: Column) -> Column:
-    return page_ranges(F.transform(blocks, lambda b: b["page"]))
+    def __str__(self) -> str:
+        return " > ".join(x for x in self.names if x) or DEFAULT_TITLE
+
+
+def cut(blocks: list[Block], limit: int, headings: bool) -> list[tuple[list[Block], str]]:
+    """Sections of ``blocks``, each with the title it has if its own headings give none.
+
+    With ``headings`` a heading of level one or two begins a section once the current one has content, and takes
+    along a separator that stands last; headings never overflow a section then.  A block that would overflow
+    begins the next.  A section begins with the separator of its page.  What has no content at the end is dropped.
+    """
+    made: list[tuple[list[Block], str]] = []
+    own: list[Block] = []
+    size, body, name, path = 0, False, DEFAULT_TITLE, Path()
+    for b in blocks:
+        head = headings and b.level is not None
+        ends = b.level <= 2 if head else not b.marker and 0 < limit < size + len(b.text)
+        fresh = body and ends
+        if fresh:
+            lead = own.pop() if head and own[-1].marker else None
+            made.append((own, name))
+            if lead is None and b.page is not None:
+                lead = Block(f"--- Page {b.page} ---", b.page, marker=True)
+            own, body = [lead] if lead else [], False
+            size = len(lead.text) if lead else 0
+        if head:
+            path.enter(b)
+            if fresh or name == DEFAULT_TITLE:
+                name = str(path)
+        size += len(b.text) + (2 if own else 0)
+        own.append(b)
+        body = body or b.body
+    return [*made, (own, name)] if body else made
+
+
+def title_of(blocks: list[Block], name: str) -> str:
+    """The path of a section's own headings; ``name`` if it has none, or none of level one."""
+    path, heads = Path(), [b for b in blocks if b.level is not None]
+    for b in heads:
+        path.enter(b)
+    own = heads and (name == DEFAULT_TITLE or any(b.level == 1 for b in heads))
+    return str(path) if own else name
+
+
+def joined(blocks: list[Block]) -> str:
+    return "\n\n".join(b.text for b in blocks)
+
+
+def source_of(blocks: list[Block]) -> str:
+    """``Page 1-3, 5`` of the pages of ``blocks``; empty without any."""
+    runs: list[list[int]] = []
+    for page in sorted({b.page for b in blocks if b.page is not None}):
+        if runs and runs[-1][1] == page - 1:
+            runs[-1][1] = page
+        else:
+            runs.append([page, page])
+    return "Page " + ", ".join(str(a) if a == b else f"{a}-{b}" for a, b in runs) if runs else ""
+
+
+def tail(blocks: list[Block], size: int) -> str:
+    """The last ``size`` characters of a section's text on one line, without separators and heading marks."""
+    text = re.sub(r"(?m)^#{1,6}\s+", "", joined([b for b in blocks if not b.marker]))
+    text = re.sub(r"\s+", " ", text).strip()
+    if size <= 0 or len(text) <= size:
+        return text if size > 0 else ""
+    return "..." + text[-size:].lstrip()
+
+
+def parents_of(text: str, options: ChunkingOptions) -> list[dict]:
+    """Parent sections of a normalized text, with their children."""
+    parents = []
+    for blocks, name in cut(read_blocks(text), options.parent_max_chars, True):
+        title, source, before, kids = title_of(blocks, name), source_of(blocks), [], []
+        for part, _ in cut(blocks, options.child_target_chars, False):
+            kids.append({"title": title, "source": source_of(part) or source or "Unknown page", "previous_context": tail(before, options.child_overlap_chars), "content": joined(part)})
+            before = part
+        parents.append({"title": title, "content": joined(blocks), "children": kids})
+    return parents
+
+
+PARENTS = "array<struct<title:string,content:string,children:array<struct<title:string,source:string,previous_context:string,content:string>>>>"
 
 
 def with_sections(docs: DataFrame, options: ChunkingOptions = ChunkingOptions()) -> DataFrame:
-    """``docs`` (doc_id, markdown) with ``normal`` and ``parents``: title, blocks and children of each.
+    """``docs`` (doc_id, markdown) with ``normal`` and ``parents``: title, content and children of each.
 
     A child has title, source (its pages, else its parent's), previous_context (the end of the child before in
-    the same parent) and content.  Null texts count as empty.  Each step is a column, so that it is evaluated once.
+    the same parent) and content.  Null texts count as empty.
     """
     d = docs.select("doc_id", normalize_markdown(F.coalesce("markdown", F.lit(""))).alias("normal"))
-    return sectioned(d.withColumn("blocks", blocks_of(F.col("normal"))), options)
-
-
-def sectioned(d: DataFrame, options: ChunkingOptions = ChunkingOptions()) -> DataFrame:
-    """Adds ``parents`` to a table with ``blocks``."""
-    d = d.withColumn("cuts", sections(F.col("blocks"), options.parent_max_chars, True))
-    d = d.withColumn("parents", F.transform("cuts", lambda s: F.struct(sliced(F.col("blocks"), s).alias("blocks"), s["fallback"].alias("fallback"))))
-    d = d.withColumn("parents", F.transform("parents", lambda p: F.struct(
-        section_title(p["blocks"], p["fallback"]).alias("title"), p["blocks"].alias("blocks"), pages_of(p["blocks"]).alias("source"), sections(p["blocks"], options.child_target_chars, False).alias("cuts"),
-    )))
-    d = d.withColumn("parents", F.transform("parents", lambda p: p.withField("parts", F.transform(p["cuts"], lambda s: sliced(p["blocks"], s)))))
+    child = pa.struct([(n, pa.string()) for n in ("title", "source", "previous_context", "content")])
+    kind = pa.list_(pa.struct([("title", pa.string()), ("content", pa.string()), ("children", pa.list_(child))]))
 
-    def child(p: Column, part: Column, i: Column) -> Column:
-        before = F.when(i > 0, tail(plain(F.get(p["parts"], i - 1)), options.child_overlap_chars)).otherwise(F.lit(""))
-        source = F.coalesce(F.nullif(pages_of(part), F.lit("")), F.nullif(p["source"], F.lit("")), F.lit("Unknown page"))
-        return F.struct(p["title"].alias("title"), source.alias("source"), before.alias("previous_context"), joined(part).alias("content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A batch of texts grows severalfold as sections: a few rows at a time.
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = [parents_of(t, options) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, kind)], ["doc_id", "normal", "parents"])
 
-    return d.withColumn("parents", F.transform("parents", lambda p: F.struct(p["title"].alias("title"), p["blocks"].alias("blocks"), F.transform(p["parts"], lambda part, i: child(p, part, i)).alias("children"))))
+    return d.mapInArrow(run, StructType([*d.schema.fields, *StructType.fromDDL(f"parents {PARENTS}").fields]))
 
 
 def children(docs: DataFrame, options: ChunkingOptions = ChunkingOptions()) -> DataFrame:
     """doc_id, parent_idx, child_idx, title, source, previous_context, content: one row per child."""
-    return exploded(with_sections(docs, options))
-
-
-def exploded(sectioned_docs: DataFrame) -> DataFrame:
-    p = sectioned_docs.select("doc_id", F.posexplode("parents").alias("parent_idx", "p"))
+    p = with_sections(docs, options).select("doc_id", F.posexplode("parents").alias("parent_idx", "p"))
     c = p.select("doc_id", "parent_idx", F.posexplode("p.children").alias("child_idx", "c"))
     return c.select("doc_id", "parent_idx", "child_idx", "c.title", "c.source", "c.previous_context", "c.content")
 

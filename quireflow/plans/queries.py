@@ -11,6 +11,7 @@ from ..operators.fallback import convert
 from ..options import ChunkingOptions
 from ..sources.shared import staged
 from . import adapters as X
+from .oracles import LINES, SECTIONS
 from .convert import rendered
 
 SMALL = ChunkingOptions(parent_max_chars=1500, child_target_chars=400, child_overlap_chars=80)
@@ -44,15 +45,19 @@ def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.document_markdown(spark, sf_dir)
     d = chunking.with_sections(docs, SMALL).select("doc_id", F.posexplode("parents").alias("parent_idx", "p"))
-    return d.select("doc_id", F.col("parent_idx").cast("long").alias("parent_idx"), "p.title", chunking.joined(F.col("p.blocks")).alias("content"))
+    return d.select("doc_id", F.col("parent_idx").cast("long").alias("parent_idx"), "p.title", "p.content")
+
+
+def children_of(docs: DataFrame) -> DataFrame:
+    return chunking.children(docs, SMALL).withColumns({n: F.col(n).cast("long") for n in ("parent_idx", "child_idx")})
 
 
 def child_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.children(X.document_markdown(spark, sf_dir), SMALL)
+    return children_of(X.document_markdown(spark, sf_dir))
 
 
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.children(X.conversation_markdown(spark, sf_dir), SMALL)
+    return children_of(X.conversation_markdown(spark, sf_dir))
 
 
 def chunked_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,18 +157,7 @@ QUERIES = {
     )
 }
 
-LINES = """
-lines as (
-  select doc_id, row_number() over (partition by doc_id order by n) - 1 as i, line
-  from (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as n,
-               regexp_replace(raw, '^\\s+|\\s+$', '', 'g') as line from documents)
-  where line <> ''),
-blocks as (
-  select doc_id, i * 2 as pos, line as text, i // 5 + 1 as page, false as marker from lines
-  union all
-  select doc_id, i * 2 - 1, '--- Page ' || (i // 5 + 1) || ' ---', i // 5 + 1, true from lines where i % 5 = 0),
-numbered as (select *, row_number() over (partition by doc_id order by pos) - 1 as ordinal from blocks)"""
-ORACLE = {
+ORACLE = SECTIONS | {
     "normalize_text": r"""
 select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\x0b\x{a0}]+(\n|$)', '\1', 'g'), '\n{3,}', e'\n\n', 'g'), '^\s+|\s+$', '', 'g') as normal from documents""",
     "clean_text": r"""
