@@ -20,6 +20,7 @@ from .gates import choose_native, choose_rendered, needs_ocr
 
 ORIGINAL, LIGHT, FULL, RASTER = "original", "qpdf-repaired", "repaired", "rasterized"
 NOT_SELECTED = "OCR is needed, but OCR was not selected"
+NO_ANSWER = "the extractor gave no answer"
 OCR_OFF = "OCR fallback is disabled"
 AFTER_OCR = "failed after OCR fallback attempt: "
 AFTER_ALL = "failed after fallback attempts: "
@@ -33,6 +34,13 @@ class Extractor(Protocol):
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
+def answers(docs: DataFrame, extractor: Extractor, source: tuple[str, ...], mode: str) -> DataFrame:
+    """One row for each of ``docs`` with the extractor's answer; a document without any gets an error."""
+    given = extractor.extract(docs.select("doc_id", "use_ocr"), source, mode).select("doc_id", "error", "markdown", "rendered", F.lit(True).alias("answered")).dropDuplicates(["doc_id"])
+    joined = docs.join(given, "doc_id", "left")
+    return joined.withColumn("error", F.when(F.col("answered").isNull(), F.lit(NO_ANSWER)).otherwise(F.col("error"))).drop("answered")
+
+
 def attempt(docs: DataFrame, extractor: Extractor, source: tuple[str, ...], options: Options, keep: Keep, mode: str | None = None) -> DataFrame:
     """doc_id, ok, markdown, error: the text layer first, then the layout-aware extractor for what failed.
 
@@ -41,13 +49,13 @@ def attempt(docs: DataFrame, extractor: Extractor, source: tuple[str, ...], opti
     first = docs.select("doc_id", "use_ocr", F.lit(None).cast("string").alias("native_error"))
     done = None
     if options.native_first and mode is None:
-        tried = extractor.extract(docs.select("doc_id", "use_ocr"), source, "native")
+        tried = answers(docs.select("doc_id", "use_ocr"), extractor, source, "native")
         result = F.when(F.col("error").isNull(), choose_native(F.col("rendered"), F.col("markdown")))
-        native = keep(docs.select("doc_id", "use_ocr").join(tried.select("doc_id", result.alias("r"), F.coalesce(F.col("error"), result["error"]).alias("native_error")), "doc_id"), "native")
+        native = keep(tried.select("doc_id", "use_ocr", result.alias("r"), F.coalesce(F.col("error"), result["error"]).alias("native_error")), "native")
         done = native.filter("native_error is null").select("doc_id", F.lit(True).alias("ok"), "r.markdown", F.lit(None).cast("string").alias("error"))
         first = native.filter("native_error is not null").select("doc_id", "use_ocr", "native_error")
     first = keep(first, "open")
-    tried = first.join(extractor.extract(first.select("doc_id", "use_ocr"), source, mode or options.hybrid_mode), "doc_id")
+    tried = answers(first, extractor, source, mode or options.hybrid_mode)
     result = F.when(F.col("error").isNull(), choose_rendered(F.col("rendered"), F.col("markdown"), ~F.col("use_ocr")))
     error = F.coalesce(F.col("error"), result["error"])
     message = F.when(error.isNotNull(), F.concat_ws("; native: ", error, "native_error"))

@@ -60,10 +60,10 @@ def records(rows: list[list[str]]) -> str:
     depth = header_depth(rows)
     names, body = labels(rows[:depth]), [r for r in rows[depth:] if any(r)]
     above: dict[int, str] = {}
-    lines = []
+    lines, filled = [], context(body)
     for row in body:
         shown = list(row)
-        for n in context(body):
+        for n in filled:
             if not row[n] and any(row[n + 1 :]):
                 shown[n] = above.get(n, "")
             above[n] = row[n] or above.get(n, "")

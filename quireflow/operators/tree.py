@@ -230,6 +230,18 @@ ITEM = "struct<idx:int,text:string,type:string,x0:double,y0:double,x1:double,y1:
 ITEM_TYPE = pa.struct([("idx", pa.int32()), ("text", pa.string()), ("type", pa.string()), *((n, pa.float64()) for n in ("x0", "y0", "x1", "y1", "font_size"))])
 
 
+def parsed(text: str | None):
+    """The tree of a JSON text, None without one; ValueError for what is no JSON, is nested too deep to be
+    read, or has characters that no UTF-8 text can have."""
+    try:
+        tree = json.loads(text) if text and text.strip() else None
+        if tree is not None and re.search(r"\\u[dD][89a-fA-F]", text):
+            json.dumps(tree, ensure_ascii=False).encode()
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    return tree
+
+
 def pages_of(text: str | None) -> Iterator[tuple[int | None, str, list[dict]]]:
     """(page, flow, items) of a document's JSON.
 
@@ -237,7 +249,7 @@ def pages_of(text: str | None) -> Iterator[tuple[int | None, str, list[dict]]]:
     no JSON gives the page None; no tree, or one without elements, gives nothing.
     """
     try:
-        tree = json.loads(text) if text and text.strip() else None
+        tree = parsed(text)
     except ValueError:
         yield None, "", []
         return
@@ -276,7 +288,7 @@ def flattened(docs: DataFrame) -> DataFrame:
 
     def nodes(doc_id: str, text: str | None) -> Iterator[tuple]:
         try:
-            tree = json.loads(text) if text and text.strip() else None
+            tree = parsed(text)
         except ValueError:
             return
         stack: list[tuple[list[int], str, dict]] = [([n], "kids", e) for n, e in reversed(list(enumerate(kids(tree))))] if isinstance(tree, dict) else []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +12,13 @@ from ..operators.layout import metric_grids, timelines
 from ..operators.tree import element_pages
 from ..operators.validate import validated
 from ..options import Options
+from ..sources.shared import staged
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, markdown: a timeline, else a grid of figures, else the page's flow.
 
-    ``pages`` is read several times; the caller may have persisted it.
+    ``pages`` is read several times; the caller has staged it.
     """
     placed = pages.filter("page_no > 0").select("doc_id", "page_no", F.explode("items").alias("i")).select("doc_id", "page_no", "i.*")
     keys = ["doc_id", "page_no"]
@@ -41,7 +41,7 @@ def rendered(docs: DataFrame) -> DataFrame:
     A tree without any text gives its fallback; a text that is no JSON fails.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
-    pages = element_pages(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    pages = staged(element_pages(docs), "pages")
     broken = pages.filter("page_no is null").select("doc_id", F.lit(True).alias("broken")).distinct()
     made = documents_of(page_texts(pages.filter("page_no is not null")))
     joined = docs.select("doc_id", "fallback_md").join(made, "doc_id", "left").join(broken, "doc_id", "left")

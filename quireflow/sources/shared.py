@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below ``spark.checkpoint.dir`` and read back: its lineage ends there.
 
-    Only where that is unset, as in tests, a temporary folder is set for it.
+    Only where that is unset and Spark is local, as in tests, a temporary folder is set for it.  The files go when
+    the application ends.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='quireflow-')}")
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/flow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
