@@ -15,34 +15,47 @@ def kids(spark, text, **options):
     return [tuple(r)[3:] for r in rows.orderBy("parent_idx", "child_idx").collect()]
 
 
-PAGES = "--- Page 1 ---\n\n# Admission Guide\n\n## Eligibility\n\nApplicants must meet the common requirements for all tracks.\n\n--- Page 2 ---\n\nAdditional notes continue on the next page.\n\n## Documents\n\nSubmit the required forms by the deadline."
+GARDEN = "--- Page 4 ---\n\n# Orchard Notes\n\n## Grafting\n\nCut the scion in late winter, before the buds swell.\n\n--- Page 5 ---\n\nBind it with raffia and wax.\n\n## Pruning\n\nRemove crossing branches first."
 
 
 def test_parents_across_pages(spark):
-    assert run(spark, PAGES, child_target_chars=220, child_overlap_chars=60) == (
-        "<<<PARENT_BREAK>>>\n\n<<<CHILD_BREAK>>>\n\nSection: Admission Guide > Eligibility\n\nSource: Page 1-2\n\nContent:\n\n--- Page 1 ---\n\n# Admission Guide\n\n## Eligibility\n\n"
-        "Applicants must meet the common requirements for all tracks.\n\n--- Page 2 ---\n\nAdditional notes continue on the next page.\n\n<<<PARENT_BREAK>>>\n\n<<<CHILD_BREAK>>>\n\n"
-        "Section: Admission Guide > Documents\n\nSource: Page 2\n\nContent:\n\n--- Page 2 ---\n\n## Documents\n\nSubmit the required forms by the deadline."
+    assert run(spark, GARDEN, child_target_chars=200, child_overlap_chars=50) == (
+        "<<<PARENT_BREAK>>>\n\n<<<CHILD_BREAK>>>\n\nSection: Orchard Notes > Grafting\n\nSource: Page 4-5\n\nContent:\n\n--- Page 4 ---\n\n# Orchard Notes\n\n## Grafting\n\n"
+        "Cut the scion in late winter, before the buds swell.\n\n--- Page 5 ---\n\nBind it with raffia and wax.\n\n<<<PARENT_BREAK>>>\n\n<<<CHILD_BREAK>>>\n\n"
+        "Section: Orchard Notes > Pruning\n\nSource: Page 5\n\nContent:\n\n--- Page 5 ---\n\n## Pruning\n\nRemove crossing branches first."
     )
 
 
 def test_overlap(spark):
-    text = "--- Page 1 ---\n\n# Policy\n\n## Access\n\nFirst paragraph explains the account owner and approved devices.\n\nSecond paragraph explains the review cycle and expiry.\n\nThird paragraph explains emergency revocation for lost devices."
-    rows = kids(spark, text, child_target_chars=120, child_overlap_chars=80)
+    first, second, third = "Bees leave the hive once the air is warm enough to fly.", "They return heavy, and rest on the board.", "In rain the guards stay at the entrance all day long."
+    rows = kids(spark, "\n\n".join(["--- Page 9 ---", "# Hives", "## Flight", first, second, third]), child_target_chars=100, child_overlap_chars=75)
     assert [r[:3] for r in rows] == [
-        ("Policy > Access", "Page 1", ""),
-        ("Policy > Access", "Page 1", "Policy Access First paragraph explains the account owner and approved devices."),
-        ("Policy > Access", "Page 1", "Second paragraph explains the review cycle and expiry."),
-    ]
-    assert rows[1][3] == "--- Page 1 ---\n\nSecond paragraph explains the review cycle and expiry."
+        ("Hives > Flight", "Page 9", ""), ("Hives > Flight", "Page 9", f"Hives Flight {first}"), ("Hives > Flight", "Page 9", second),
+    ]
+    assert [r[3] for r in rows[1:]] == [f"--- Page 9 ---\n\n{second}", f"--- Page 9 ---\n\n{third}"]
 
 
 def test_table_is_not_split(spark):
-    table = "| Certificate | Points |\n| --- | --- |\n| Certificate of skill | 30 |\n| Certificate | 20 |"
-    rows = kids(spark, f"--- Page 3 ---\n\n# Scholarship\n\n## Points\n\nIntro text.\n\n{table}\n\nClosing text.", child_target_chars=80, child_overlap_chars=20)
-    assert [r[2] for r in rows] == ["", "...p Points Intro text.", "...| Certificate | 20 |"]
-    assert rows[1][3] == f"--- Page 3 ---\n\n{table}"
-    assert {r[:2] for r in rows} == {("Scholarship > Points", "Page 3")}
+    table = "| Tree | Years |\n| --- | --- |\n| Quince | 5 |\n| Walnut in the valley | 12 |"
+    rows = kids(spark, f"--- Page 2 ---\n\n# Yield\n\n## First fruit\n\nCounted from planting.\n\n{table}\n\nMedlars vary.", child_target_chars=70, child_overlap_chars=20)
+    assert [r[2] for r in rows] == ["", "...unted from planting.", "...in the valley | 12 |"]
+    assert rows[1][3] == f"--- Page 2 ---\n\n{table}"
+    assert {r[:2] for r in rows} == {("Yield > First fruit", "Page 2")}
+
+
+def test_long_documents_take_linear_time():
+    import time
+
+    from quireflow.operators.chunking import parents_of
+
+    def took(n):
+        text = "\n\n".join(x for i in range(n) for x in (f"--- Page {i + 1} ---", f"## Part {i}", f"line {i} of a long text " * 3, "more"))
+        began = time.perf_counter()
+        assert len(parents_of(text, ChunkingOptions())) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 8 * took(4_000) + 0.5
 
 
 def test_size_split_keeps_the_first_title(spark):

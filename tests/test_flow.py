@@ -1,18 +1,20 @@
 """Rendering, gates, chain, validation and sources: outputs derived by hand."""
 
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from quireflow.operators import gates, matrix, tables, tree
-from quireflow.operators.fallback import AFTER_OCR, NOT_SELECTED, convert
+from quireflow.operators.fallback import AFTER_OCR, NO_ANSWER, NOT_SELECTED, convert
 from quireflow.operators.gates import IMAGE_ONLY, VISUAL_PAGE
 from quireflow.operators.validate import validated
 from quireflow.options import ChunkingOptions, Options
 from quireflow.plans import queries
-from quireflow.plans.convert import rendered
-from quireflow.sources.files import artifacts, responses
+from quireflow.plans.command import CommandExtractor
+from quireflow.plans.convert import converted, rendered
+from quireflow.sources.files import artifacts, responses, uploads
 
 H = lambda text, level=1, **k: {"type": "heading", "heading level": level, "content": text} | k
 P = lambda text, **k: {"type": "paragraph", "content": text} | k
@@ -26,20 +28,20 @@ def table(*rows):
     return {"type": "table", "rows": [{"cells": [{"column number": n, "kids": [P(c)]} for n, c in enumerate(r, 1)]} for r in rows]}
 
 
-YEARS = [(100, 900, "1958", "- School opened"), (300, 900, "1970", "- College reorganized"), (100, 700, "2023", "- New departments"), (300, 700, "2024", "- Free major added")]
-TIMELINE = [H("History", **box(0, 1000))] + [x for x0, y, a, b in YEARS for x in (P(a, **box(x0, y)), P(b, **box(x0, y - 45)))]
-FACTS = [("Founded", "1958"), ("Students", "7000"), ("Faculty", "330"), ("Dorm", "569")]
-METRICS = [P("Campus Facts", **box(0, 1000)), P("Current summary.", **box(0, 960))] + [
+YEARS = [(100, 900, "1911", "- Lighthouse lit"), (300, 900, "1936", "- Breakwater built"), (100, 700, "1987", "- Ferry line closed"), (300, 700, "2009", "- Wind park joined")]
+TIMELINE = [H("Harbour", **box(0, 1000))] + [x for x0, y, a, b in YEARS for x in (P(a, **box(x0, y)), P(b, **box(x0, y - 45)))]
+FACTS = [("Berths", "41"), ("Cranes", "12"), ("Pilots", "27"), ("Depth", "14.5 m")]
+METRICS = [P("Port in figures", **box(0, 1000)), P("As counted in spring.", **box(0, 960))] + [
     x for n, (a, b) in enumerate(FACTS) for x in (P(a, **box(150 * n, 700)), H(b, 2, **box(150 * n, 660), **{"font size": 18}))
 ]
 CASES = {
-    "mixed": ([H("Security Policy"), H("Access Scope", 2), P("Only owners."), table(["Role", "Permission"], ["Admin", "Approve | revoke"]), {"type": "picture", "description": "A chart."}],
-              "# Security Policy\n\n## Access Scope\n\nOnly owners.\n\n| Role | Permission |\n| --- | --- |\n| Admin | Approve \\| revoke |\n\n**Image summary:** A chart."),
+    "mixed": ([H("Tide tables"), H("North pier", 2), P("Times are local."), table(["Hour", "Level"], ["06:10", "low | slack"]), {"type": "picture", "description": "A gauge."}],
+              "# Tide tables\n\n## North pier\n\nTimes are local.\n\n| Hour | Level |\n| --- | --- |\n| 06:10 | low \\| slack |\n\n**Image summary:** A gauge."),
     "none": ([], "# Fallback"),
-    "timeline": (TIMELINE, "--- Page 1 ---\n\n## History\n\n- 1958: School opened\n\n- 1970: College reorganized\n\n- 2023: New departments\n\n- 2024: Free major added"),
-    "metrics": (METRICS, "--- Page 1 ---\n\n## Campus Facts\n\nCurrent summary.\n\n| 항목 | 내용 |\n| --- | --- |\n| Founded | 1958 |\n| Students | 7000 |\n| Faculty | 330 |\n| Dorm | 569 |"),
+    "timeline": (TIMELINE, "--- Page 1 ---\n\n## Harbour\n\n- 1911: Lighthouse lit\n\n- 1936: Breakwater built\n\n- 1987: Ferry line closed\n\n- 2009: Wind park joined"),
+    "metrics": (METRICS, "--- Page 1 ---\n\n## Port in figures\n\nAs counted in spring.\n\n| 항목 | 내용 |\n| --- | --- |\n| Berths | 41 |\n| Cranes | 12 |\n| Pilots | 27 |\n| Depth | 14.5 m |"),
     "image page": ([{"type": "image", "page number": 1}], f"--- Page 1 ---\n\n{IMAGE_ONLY}"),
-    "thin page": ([H("Product Overview", **{"page number": 1}), {"type": "image", "page number": 1}], f"--- Page 1 ---\n\n# Product Overview\n\n{VISUAL_PAGE}"),
+    "thin page": ([H("Mooring rules", **{"page number": 1}), {"type": "image", "page number": 1}], f"--- Page 1 ---\n\n# Mooring rules\n\n{VISUAL_PAGE}"),
     "page-less dropped": ([P("kept", **{"page number": 2}), P("lost")], "--- Page 2 ---\n\nkept"),
     "header": ([{"type": "header", "content": "top"}, P("body"), {"type": "caption", "content": "c"}], "body\n\n*c*"),
     "numbered": ([{"type": "list", "numbering style": "unordered", "list items": [{"content": "a"}, {"content": ""}, {"content": "c"}]}], "1. a\n3. c"),
@@ -48,9 +50,9 @@ CASES = {
 
 
 def test_rendering(spark):
-    rows = [(k, json.dumps({"kids": v[0]}), "# Fallback") for k, v in CASES.items()] + [("broken", "{", "x"), ("no tree", None, "x \n")]
+    rows = [(k, json.dumps({"kids": v[0]}), "# Fallback") for k, v in CASES.items()] + [("broken", "{", "x"), ("no tree", None, "x \n"), ("deep", "[" * 200_000, "x"), ("half a pair", json.dumps({"kids": [P("a\ud800")]}), "x")]
     got = {r.doc_id: (r.ok, r.markdown) for r in rendered(spark.createDataFrame(rows, "doc_id string, element_json string, fallback_md string")).collect()}
-    assert got == {k: (True, v[1]) for k, v in CASES.items()} | {"broken": (False, None), "no tree": (True, "x")}
+    assert got == {k: (True, v[1]) for k, v in CASES.items()} | {k: (False, None) for k in ("broken", "deep", "half a pair")} | {"no tree": (True, "x")}
 
 
 @pytest.mark.parametrize("element, level", [
@@ -68,11 +70,10 @@ def test_cells_keep_their_places():
     assert tree.render(row({"column number": 1, "content": "A"}, {"column number": 1, "content": "B"})).startswith("| A | B |")
 
 
-WIDE = [["Department", "Admission", "", "", "", "", "", "Regular", "", "", "", "", ""], ["", "Early", "Day", "2", "Special", "", "", "General", "", "", "", "", ""]]
-MEDIUM = [["Area", "Program", "2025", "", "2026", "", ""], ["", "", "Spring", "Fall", "Spring", "Fall", "Notes"], ["Engineering", "Mechanical", "10", "12", "14", "16", "Open"], ["", "Electrical", "8", "9", "10", "11", "Open"]]
+MEDIUM = [["Coast", "Port", "Grain", "", "Timber", "", ""], ["", "", "In", "Out", "In", "Out", "State"], ["West", "Aldmouth", "31", "7", "5", "62", "Calm"], ["", "Brinsea", "18", "44", "3", "9", "Foggy"]]
 MEDIUM_TEXT = (
-    "**Table records:**\n- Area: Engineering; Program: Mechanical; 2025 > Spring: 10; 2025 > Fall: 12; 2026 > Spring: 14; 2026 > Fall: 16; 2026 > Notes: Open\n"
-    "- Area: Engineering; Program: Electrical; 2025 > Spring: 8; 2025 > Fall: 9; 2026 > Spring: 10; 2026 > Fall: 11; 2026 > Notes: Open"
+    "**Table records:**\n- Coast: West; Port: Aldmouth; Grain > In: 31; Grain > Out: 7; Timber > In: 5; Timber > Out: 62; Timber > State: Calm\n"
+    "- Coast: West; Port: Brinsea; Grain > In: 18; Grain > Out: 44; Timber > In: 3; Timber > Out: 9; Timber > State: Foggy"
 )
 MATRICES = [
     MEDIUM, [["H"] * 8, ["V"] * 8], [["x"] * 13], [[""], ["  "]], [["a<br>b", "c|d"], ["1\n2"]], [["A", "A", "B", "A", "", "n", "m", "o", "p", "q", "r", "s", "t"], ["1", "2", "3", "4", "5", "", "", "", "", "", "", "", "x"]],
@@ -146,6 +147,53 @@ def test_chain(spark, case):
     assert tuple(responses(result).first()) == ("d", want[0], want[1] or "")
 
 
+def test_extractor_without_or_with_two_answers(spark):
+    class Careless(Script):
+        def extract(self, docs, source, mode):
+            return super().extract(docs.filter("doc_id <> 'lost'").unionAll(docs.filter("doc_id = 'twice'")), source, mode)
+
+    docs = spark.createDataFrame([("lost", False), ("twice", False)], "doc_id string, use_ocr boolean")
+    got = {r.doc_id: r for r in convert(docs, Careless({((), "auto"): ("md", None)}), Options(native_first=False)).collect()}
+    assert got["twice"].markdown == "md" and not got["lost"].ok and NO_ANSWER in got["lost"].error and len(got) == 2
+
+
+SCRIPT = """
+import pathlib, sys, time
+file, out, mode = pathlib.Path(sys.argv[1]), pathlib.Path(sys.argv[2]), sys.argv[3]
+text = file.read_text()
+if mode == "repair":
+    if "damaged" in text:
+        out.write_text(text.replace("damaged", "mended"))
+elif "slow" in text:
+    time.sleep(60)
+elif "damaged" in text:
+    sys.exit("broken xref")
+else:
+    (out / "sub").mkdir()
+    (out / "sub/a.md").write_text("# Report\\n\\n" + text.removeprefix("%PDF-") + " by " + mode)
+    if "tree" in text:
+        (out / "a.json").write_text('{"kids": [{"type": "heading", "level": 1, "content": "From the tree"}, {"type": "paragraph", "content": "of elements"}]}')
+"""
+
+
+def test_commands(spark, tmp_path):
+    """The whole flow over files: uploads, checks, commands with repairs and a time limit, chunks."""
+    (tmp_path / "tool.py").write_text(SCRIPT)
+    (tmp_path / "in").mkdir()
+    for name, text in {"good": "%PDF-good text", "bad": "%PDF-damaged text", "slow": "%PDF-slow text", "tree": "%PDF-tree", "none": "no signature"}.items():
+        (tmp_path / f"in/{name}.pdf").write_text(text)
+    files = uploads(spark, str(tmp_path / "in")).withColumn("doc_id", F.element_at(F.split("doc_id", "/"), -1))
+    command = lambda mode: (sys.executable, str(tmp_path / "tool.py"), "{input}", "{output}", mode)
+    options = Options(timeout_s=5, rasterize=False, full_repair=False)
+    extractor = CommandExtractor(files, {"native": command("native"), "auto": command("auto")}, {"light": command("repair")}, options)
+    got = {r.doc_id.removesuffix(".pdf"): r for r in converted(files, extractor, options).collect()}
+    assert {k: r.ok for k, r in got.items()} == {"good": True, "bad": True, "slow": False, "tree": True, "none": False}
+    assert "Content:\n\n# Report\n\ngood text by native" in got["good"].markdown and "mended text by native" in got["bad"].markdown
+    assert "# From the tree\n\nof elements" in got["tree"].markdown and "more than 5 s" in got["slow"].error and got["none"].error == "no PDF signature"
+    plain = converted(files.filter("doc_id = 'good.pdf'"), extractor, Options(timeout_s=5, chunk=False)).first()
+    assert plain.markdown == "# Report\n\ngood text by native"
+
+
 def test_validation(spark):
     rows = [("../bad:name?.pdf", b"not a pdf"), ("a.doc", b"%PDF-1" + b"\xef\xbf\xbd" * 200), ("", b" \n%PDF-1"), ("요강.pdf", b""), ("x.PDF", None)]
     got = validated(spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id int, filename string, content binary")).orderBy("doc_id").collect()
