@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, fresh, release, remove_table, shared_dir, shuffle_partitions, staged
 from .components import components
-from .textvec import SOLID, blocks, mix, words
+from .textvec import RUN, SOLID, blocks, distinct, mix, words
 from .token_counts import texts
 
 _MIX = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -62,24 +62,20 @@ def shingles(rows: list[bytes], how: NearDedup) -> tuple[np.ndarray, np.ndarray,
     A text of fewer words than a shingle has one shingle of all its words; one without words has none.
     """
     w = words(rows, SOLID)
-    n = np.diff(w.first)
-    k = how.shingle
-    begin = np.concatenate([w.hash, np.zeros(k, np.uint64)])
-    doc_of = np.repeat(np.arange(len(rows)), n)
-    left = np.repeat(w.first[1:], n) - np.arange(len(w.hash))
-    h = np.zeros(len(w.hash), np.uint64)
-    for j in range(k):
-        h = h * _MIX[0] + np.where(left > j, begin[j : j + len(h)], np.uint64(j + 1))
-    at_first = np.arange(len(h)) == np.repeat(w.first[:-1], n)
-    own = (left >= k) | at_first
-    h, doc = mix(h[own]), doc_of[own]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    weight = np.diff(np.append(at, len(h))) if how.counted else np.ones(len(at), np.int64)
-    return h[at], weight, np.searchsorted(doc[at], np.arange(len(rows) + 1))
+    n, k = np.diff(w.first), how.shingle
+    behind = np.concatenate([w.hash, np.zeros(k, np.uint64)])
+    parts = [np.zeros(0, np.uint64)]
+    for a in range(0, len(w.hash), RUN):
+        b = min(a + RUN, len(w.hash))
+        here = np.diff(np.clip(w.first, a, b))
+        left = np.repeat(w.first[1:], here) - np.arange(a, b)
+        h = np.zeros(b - a, np.uint64)
+        for j in range(k):
+            h = h * _MIX[0] + np.where(left > j, behind[a + j : b + j], np.uint64(j + 1))
+        parts.append(mix(h[(left >= k) | (left == np.repeat(n, here))]))
+    made = np.concatenate(([0], np.cumsum(np.where(n > 0, np.maximum(1, n - k + 1), 0))))
+    h, weight, first = distinct(np.concatenate(parts), made)
+    return h, weight if how.counted else np.ones(len(h), np.int64), first
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
@@ -92,29 +88,35 @@ def signatures(rows: list[bytes], how: NearDedup) -> tuple[np.ndarray, np.ndarra
     h, weight, first = shingles(rows, how)
     docs = np.repeat(np.arange(len(rows)), np.diff(first))
     # A region of integer weight is that many strips of width one, each with a process of its own.
-    strip = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-    strips = mix(np.repeat(h, weight) + strip.astype(np.uint64) * _MIX[1])
-    owner = np.repeat(docs, weight)
-    total = np.bincount(owner, minlength=len(rows)).astype(np.float64)
+    ends = np.cumsum(weight)
+    total = np.bincount(docs, weight, minlength=len(rows))
     some = total > 0
     kept = np.zeros((len(rows), k), np.uint64)
     reach = np.where(some, (k * np.log(k) + 2 * k) / np.maximum(total, 1), 0)
     pending = some.copy()
     while pending.any():
-        use = pending[owner]
-        e, d = strips[use], owner[use]
-        rank = np.zeros(len(e))
         found_doc, found_rank, found_dart = [], [], []
-        m = 0
-        while len(e):
-            dart = mix(e + np.uint64((m + 1) * int(_MIX[2]) % 2**64))
-            rank = rank - np.log(uniform(mix(dart ^ _MIX[3])))
-            inside = rank <= reach[d]
-            e, d, rank, dart = e[inside], d[inside], rank[inside], dart[inside]
-            found_doc.append(d)
-            found_rank.append(rank)
-            found_dart.append(dart)
-            m += 1
+        for a in range(0, int(weight.sum()), RUN):
+            b = min(a + RUN, int(ends[-1]))
+            lo, hi = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b)) + 1
+            begin = ends[lo:hi] - weight[lo:hi]
+            of = np.repeat(np.arange(lo, hi), np.minimum(ends[lo:hi], b) - np.maximum(begin, a))
+            strip = np.arange(a, b) - begin[of - lo]
+            if not pending.all():
+                use = pending[docs[of]]
+                of, strip = of[use], strip[use]
+            e, d = mix(h[of] + strip.astype(np.uint64) * _MIX[1]), docs[of]
+            rank = np.zeros(len(e))
+            m = 0
+            while len(e):
+                dart = mix(e + np.uint64((m + 1) * int(_MIX[2]) % 2**64))
+                rank = rank - np.log(uniform(mix(dart ^ _MIX[3])))
+                inside = rank <= reach[d]
+                e, d, rank, dart = e[inside], d[inside], rank[inside], dart[inside]
+                found_doc.append(d)
+                found_rank.append(rank)
+                found_dart.append(dart)
+                m += 1
         doc, rank, dart = np.concatenate(found_doc), np.concatenate(found_rank), np.concatenate(found_dart)
         cell = doc * k + (dart % np.uint64(k)).astype(np.int64)
         best = np.full(len(rows) * k, np.inf)

@@ -7,8 +7,10 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Bytes of text that are vectorised together; a longer text is taken alone.
+#: Bytes of text that are vectorised together; a longer text is taken alone, so many of its bytes at a time.
 BLOCK = 2 << 20
+#: Words, or what is made of them, that are worked on together: more than a block has, unless it is one long text.
+RUN = 1 << 20
 _RANDOM = np.random.default_rng(20240229)
 _VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWER = _RANDOM.integers(1, 2**63, 1024, dtype=np.uint64) | np.uint64(1)
@@ -42,24 +44,58 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+def edges(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes of ``kind`` start and end; the last byte is of none."""
+    starts, ends, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.int8(0)
+    for a in range(0, len(data), BLOCK):
+        inside = kind[data[a : a + BLOCK]].view(np.int8)
+        edge = np.diff(inside, prepend=last)
+        starts.append(np.flatnonzero(edge == 1) + a)
+        ends.append(np.flatnonzero(edge == -1) + a)
+        last = inside[-1]
+    return np.concatenate(starts), np.concatenate(ends)
+
+
 def words(texts: list[bytes], kind: np.ndarray = SOLID, fold: bool = False, stem: int = 0) -> Words:
-    """Words are runs of bytes of ``kind``; ``fold`` ignores the case of ASCII letters."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
+    """Words are runs of bytes of ``kind``; ``fold`` ignores the case of ASCII letters.
+
+    A word's hash is a sum over its bytes, so that bytes are taken ``BLOCK`` at a time, wherever that cuts a word.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
-    inside = kind[data]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = edges(data, kind)
     length = end - start
-    first = np.searchsorted(start, begin)
-    if not len(start):
-        none = np.zeros(0, np.uint64)
-        return Words(data, begin, none, none if stem else None, length, first)
-    own = np.cumsum(length) - length
-    at = np.arange(int(length.sum())) - np.repeat(own, length)
-    value = (_FOLDED if fold else _VALUE)[data[inside]] * _POWER[at & 1023]
-    hashed = mix(np.add.reduceat(value, own) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    stems = mix(np.add.reduceat(np.where(at < stem, value, np.uint64(0)), own)) if stem else None
-    return Words(data, begin, hashed, stems, length, first)
+    hashed = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    stems = np.zeros(len(start), np.uint64) if stem else None
+    for a in range(0, len(data), BLOCK):
+        b = a + BLOCK
+        lo, hi = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b))
+        if lo == hi:
+            continue
+        here = np.minimum(end[lo:hi], b) - np.maximum(start[lo:hi], a)
+        own = np.cumsum(here) - here
+        at = np.arange(int(here.sum())) - np.repeat(own, here)
+        at[: here[0]] += max(0, a - int(start[lo]))
+        bytes_ = data[a:b]
+        value = (_FOLDED if fold else _VALUE)[bytes_[kind[bytes_]]] * _POWER[at & 1023]
+        hashed[lo:hi] += np.add.reduceat(value, own)
+        if stem:
+            stems[lo:hi] += np.add.reduceat(np.where(at < stem, value, np.uint64(0)), own)
+    return Words(data, begin, mix(hashed), mix(stems) if stem else None, length, np.searchsorted(start, begin))
+
+
+def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's run of hashes: the distinct ones in order, how often each is there, where each text's begin."""
+    if len(first) == 2:
+        once, n = np.unique(h, return_counts=True)
+        return once, n, np.array([0, len(once)])
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, doc))
+    own, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(own[at], np.arange(len(first)))
 
 
 def per_text(op: np.ufunc, values: np.ndarray, first: np.ndarray, empty: float = 0) -> np.ndarray:
