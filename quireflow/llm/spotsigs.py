@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .textvec import LETTER, blocks, mix, words
+from .textvec import LETTER, RUN, blocks, mix, words
 
 #: Common words of English, German, French and Spanish that anchor signatures.
 ANCHORS = (
@@ -47,17 +47,22 @@ class Spots:
 _TABLE = np.sort(np.unique(np.array([words([w.encode()], LETTER, fold=True).hash[0] for w in ANCHORS.split()], np.uint64)))
 
 
-def chained(heads: np.ndarray, after: np.ndarray, hash_: np.ndarray, doc: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the words at ``heads``, each with the next ``chain`` words among those at ``after``."""
-    at = np.searchsorted(after, heads, side="right")
-    fits = at + chain <= len(after)
-    heads, at = heads[fits], at[fits]
-    fits = doc[after[at + chain - 1]] == doc[heads]
-    heads, at = heads[fits], at[fits]
-    s = hash_[heads]
-    for j in range(chain):
-        s = mix(s + hash_[after[at + j]])
-    return s, doc[heads]
+def chained(heads: np.ndarray, after: np.ndarray, hash_: np.ndarray, first: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the words at ``heads``, each with the next ``chain`` words among those at ``after``; where each text's begin."""
+    made, upto = [np.zeros(0, np.uint32)], np.zeros(len(first), np.int64)
+    for a in range(0, len(heads), RUN):
+        own = heads[a : a + RUN]
+        at = np.searchsorted(after, own, side="right")
+        fits = at + chain <= len(after)
+        own, at = own[fits], at[fits]
+        fits = after[at + chain - 1] < first[np.searchsorted(first, own, side="right")]
+        own, at = own[fits], at[fits]
+        s = hash_[own]
+        for j in range(chain):
+            s = mix(s + hash_[after[at + j]])
+        made.append((s >> np.uint64(32)).astype(np.uint32))
+        upto += np.searchsorted(own, first)
+    return np.concatenate(made), upto
 
 
 Print = tuple[np.ndarray, np.ndarray]
@@ -72,14 +77,9 @@ def fingerprints(rows: list[bytes], how: Spots = Spots()) -> list[Print]:
     out: list[Print] = []
     for _, part in blocks(rows):
         w = words(part, LETTER, fold=True)
-        doc = np.repeat(np.arange(len(part)), np.diff(w.first))
         at = np.minimum(np.searchsorted(_TABLE, w.hash), len(_TABLE) - 1)
         common, all_ = _TABLE[at] == w.hash, np.arange(len(w.hash))
-        parts = []
-        for s, d in (chained(np.flatnonzero(common), np.flatnonzero(~common), w.hash, doc, how.chain), chained(all_, all_, w.hash, doc, how.chain)):
-            s = s >> np.uint64(32)
-            order = np.lexsort((s, d))
-            parts.append((s[order].astype(np.uint32), np.searchsorted(d[order], np.arange(len(part) + 1))))
+        parts = [chained(heads, after, w.hash, w.first, how.chain) for heads, after in ((np.flatnonzero(common), np.flatnonzero(~common)), (all_, all_))]
         for n, text in enumerate(part):
             anchored, every = (np.unique(s[first[n] : first[n + 1]]) for s, first in parts)
             if not len(every) and text:
