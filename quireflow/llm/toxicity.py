@@ -52,6 +52,8 @@ class Network:
     #: Every so many examples, one is kept for calibration.
     keep: int = 4
     seed: int = 11
+    #: Words that are convolved together.
+    at_once: int = 1 << 16
 
 
 def guess(w: Words) -> np.ndarray:
@@ -98,9 +100,23 @@ def peaks(c: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def highest(model: dict[str, np.ndarray], word: np.ndarray, stem: np.ndarray, first: np.ndarray, how: Network) -> np.ndarray:
+    """``peaks`` of all words, ``how.at_once`` at a time, each time with those that the filters look ahead to."""
+    out = np.full((len(first) - 1, how.filters * len(how.widths)), -np.inf, np.float32)
+    for a in range(0, len(word), how.at_once):
+        b = min(a + how.at_once, len(word))
+        e = min(b + max(how.widths) - 1, len(word))
+        x = model["word"][word[a:e]] + model["stem"][stem[a:e]]
+        c = convolved(model, x, np.clip(first, a, e) - a, how)
+        own = np.clip(first, a, b) - a
+        some = np.flatnonzero(own[1:] > own[:-1])
+        out[some] = np.maximum(out[some], np.maximum.reduceat(c[:, : b - a], own[some], axis=1).T)
+    out[first[1:] == first[:-1]] = 0
+    return out
+
+
 def logits(model: dict[str, np.ndarray], word: np.ndarray, stem: np.ndarray, first: np.ndarray, how: Network) -> np.ndarray:
-    x = model["word"][word] + model["stem"][stem]
-    return np.maximum(0, peaks(convolved(model, x, first, how), first) + model["bias"]) @ model["out"] + model["b"][0]
+    return np.maximum(0, highest(model, word, stem, first, how) + model["bias"]) @ model["out"] + model["b"][0]
 
 
 def step(model: dict[str, np.ndarray], word: np.ndarray, stem: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, how: Network) -> dict:
