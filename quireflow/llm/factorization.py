@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
-from .textvec import LETTER, Adam, blocks, per_text, sigmoid, words
+from .textvec import LETTER, Adam, blocks, distinct, per_text, sigmoid, words
 from .token_counts import texts
 
 STATS = ("words", "distinct", "most_frequent", "word_length", "symbols", "digits", "upper", "punctuation", "beyond_ascii", "words_a_line", "repeats", "bytes")
@@ -61,20 +61,15 @@ def vectors(rows: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np
     """Bucket and share of each distinct word of each text, where each text's begin, and its statistics."""
     w = words(rows, LETTER, fold=True)
     n = np.diff(w.first)
-    doc = np.repeat(np.arange(len(rows)), n)
-    order = np.lexsort((w.hash, doc))
-    own, hashed = doc[order], w.hash[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (hashed[1:] != hashed[:-1])
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(own)))
-    first = np.searchsorted(own[at], np.arange(len(rows) + 1))
-    share = (count / np.maximum(1, n)[own[at]]).astype(np.float32)
-    bucket = (hashed[at] >> np.uint64(40)).astype(np.int64) % buckets
+    hashed, count, first = distinct(w.hash, w.first)
+    share = (count / np.repeat(np.maximum(1, n), np.diff(first))).astype(np.float32)
+    bucket = (hashed >> np.uint64(40)).astype(np.int64) % buckets
     size = np.diff(w.begin) - 1
-    per = np.stack([per_text(np.add, (CLASS[w.bytes] == k).astype(np.int64), w.begin) for k in range(1, 7)]) if len(rows) else np.zeros((6, 0))
-    same = np.zeros(len(w.hash), np.int64)
-    same[1:] = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
+    of = CLASS[w.bytes]
+    per = np.stack([np.add.reduceat(of == k, w.begin[:-1], dtype=np.int64) for k in range(1, 7)]) if len(rows) else np.zeros((6, 0))
+    same = np.zeros(len(w.hash), np.int32)
+    same[1:] = w.hash[1:] == w.hash[:-1]
+    same[w.first[:-1][n > 0]] = 0
     some, whole = np.maximum(1, n), np.maximum(1, size)
     stats = np.stack([
         np.log1p(n), np.diff(first) / some, per_text(np.maximum, share, first), per_text(np.add, w.length, w.first) / some,
