@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from quireflow.llm import factorization, mixing, near_dedup, packing, quality_rules, revisits, spotsigs, suffixes, token_counts, toxicity
+from quireflow.llm import factorization, mixing, near_dedup, packing, quality_rules, revisits, spotsigs, suffixes, textvec, token_counts, toxicity
 from quireflow.llm.bpe import WordBpe, tokenizer_path
 from quireflow.llm.components import components
 
@@ -21,6 +22,61 @@ def texts(rows=None):
     return [(r[0], r[1] or "") for r in (rows or H.odd_rows())]
 
 
+# texts of any length
+
+
+def drawn(how):
+    rng, n = np.random.default_rng(2), how.filters * len(how.widths)
+    draw = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    model = {"word": draw(how.buckets, how.width), "stem": draw(how.buckets, how.width), "kernel": draw(how.width, how.filters * sum(how.widths))}
+    return model | {"bias": draw(n), "out": draw(n), "b": draw(1), "cut": np.zeros(len(toxicity.FUNCTION_WORDS) + 1)}
+
+
+def found(rows):
+    """What the operators make of each text."""
+    out = [[] for _ in rows]
+    net = toxicity.Network(at_once=near_dedup.RUN)
+    model = drawn(net)
+    for how in (near_dedup.NearDedup(), near_dedup.NearDedup(counted=True)):
+        for at, part in textvec.blocks(rows):
+            h, weight, first = near_dedup.shingles(part, how)
+            kept, some = near_dedup.signatures(part, how)
+            bucket, share, begin, stats = factorization.vectors(part, 1 << 15)
+            score = toxicity.scores_of(model, part, net)
+            for i in range(len(part)):
+                own, mine = slice(first[i], first[i + 1]), slice(begin[i], begin[i + 1])
+                out[at + i] += [h[own].tolist(), weight[own].tolist(), kept[i].tolist(), bool(some[i]), bucket[mine].tolist(), share[mine].tolist(), stats[i].tolist(), round(float(score[i]), 4)]
+    for n, p in enumerate(spotsigs.fingerprints(rows)):
+        out[n].append(spotsigs.written(p))
+    return out
+
+
+def test_long_texts_by_pieces(monkeypatch):
+    """Pieces that cut words, shingles and chains anywhere give what the whole text gives."""
+    rows = [t.encode() for _, t in texts()[:8] + texts()[9:]] + [(H.prose(9, 700) + " the of and " + "x" * 900).encode(), b"the " * 90 + b"cat sat far off", "é漢 ".encode() * 70]
+    want = found(rows)
+    monkeypatch.setattr(textvec, "BLOCK", 61)
+    for module in (near_dedup, spotsigs):
+        monkeypatch.setattr(module, "RUN", 23)
+    assert found(rows) == want
+
+
+def test_memory_of_a_long_text():
+    """Worker memory for a text is a bounded multiple of its bytes (words of five bytes here)."""
+    net = toxicity.Network()
+    model = drawn(net)
+    text = " ".join(f"{n * 2654435761 % 2**16:04x}" for n in range(4_000_000)).encode()
+    for run in (
+        lambda: near_dedup.signatures([text], near_dedup.NearDedup()), lambda: spotsigs.fingerprints([text]),
+        lambda: factorization.vectors([text], 1 << 15), lambda: toxicity.scores_of(model, [text], net),
+    ):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 18 * len(text)
+
+
 # 1 near duplicates
 
 
