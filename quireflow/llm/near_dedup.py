@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, fresh, release, remove_table, shared_dir, shuffle_partitions, staged
 from .components import components
-from .textvec import RUN, SOLID, blocks, distinct, mix, words
+from .textvec import RUN, SOLID, blocks, distinct, mix, spans, words
 from .token_counts import texts
 
 _MIX = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -342,8 +342,8 @@ def checked(pairs: DataFrame, store: DataFrame, how: NearDedup) -> DataFrame:
         for batch in batches:
             keep = []
             left, right = texts(batch, "a"), texts(batch, "b")
-            for at in range(0, len(left), 256):
-                x, y = left[at : at + 256], right[at : at + 256]
+            for at, end in spans([len(x) + len(y) + 2 for x, y in zip(left, right, strict=True)]):
+                x, y = left[at:end], right[at:end]
                 h, weight, first = shingles(x + y, how)
                 for i in range(len(x)):
                     p, q = slice(first[i], first[i + 1]), slice(first[len(x) + i], first[len(x) + i + 1])

@@ -107,16 +107,22 @@ def per_text(op: np.ufunc, values: np.ndarray, first: np.ndarray, empty: float =
     return out
 
 
+def spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of ``sizes`` that add up to ``BLOCK`` at most, or of a single larger one: where each begins and ends."""
+    at, whole = 0, 0
+    for n, size in enumerate(sizes):
+        if n > at and whole + size > BLOCK:
+            yield at, n
+            at, whole = n, 0
+        whole += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of ``BLOCK`` bytes at most, each with the place of its first."""
-    at, size = 0, 0
-    for n, text in enumerate(texts):
-        if size and size + len(text) > BLOCK:
-            yield at, texts[at:n]
-            at, size = n, 0
-        size += len(text) + 1
-    if at < len(texts):
-        yield at, texts[at:]
+    for a, b in spans([len(t) + 1 for t in texts]):
+        yield a, texts[a:b]
 
 
 class Adam:

@@ -61,6 +61,18 @@ def test_long_texts_by_pieces(monkeypatch):
     assert found(rows) == want
 
 
+def test_spans(monkeypatch):
+    """Every text in one run, in order; a run over the bound is a single text, and no two neighbours fit in one."""
+    monkeypatch.setattr(textvec, "BLOCK", 10)
+    assert list(textvec.spans([])) == []
+    for seed in range(50):
+        sizes = np.random.default_rng(seed).integers(0, 15, seed).tolist()
+        runs = list(textvec.spans(sizes))
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(sizes)))
+        assert all(b > a and (b == a + 1 or sum(sizes[a:b]) <= 10) for a, b in runs)
+        assert all(sum(sizes[a:b]) + sizes[b] > 10 for a, b in runs[:-1])
+
+
 def test_memory_of_a_long_text():
     """Worker memory for a text is a bounded multiple of its bytes (words of five bytes here)."""
     net = toxicity.Network()
